@@ -38,7 +38,7 @@ def test_base_spans_equal_regular_expressions(text):
     assert [s for s in Finder().spans(text) if s[0] in BASE_KINDS] == brute(text)
 
 
-@pytest.mark.parametrize("text", ["1.2.3.4.5.6.7.8", "a@b.c@d.e", "999.1.1.1.1.1", "x@y", "4111 1111-1111 1111", "+1 (499) 555-6503.", "1" * 5000 + ".1.1.1", "@", "+", ""])
+@pytest.mark.parametrize("text", ["1.2.3.4.5.6.7.8", "a@b.c@d.e", "999.1.1.1.1.1", "x@y", "4111 1111-1111 1111", "+1 (499) 555-6503.", "1" * 4000 + ".1.1.1", "@", "+", ""])
 def test_corners(text):
     assert [s for s in Finder().spans(text) if s[0] in BASE_KINDS] == brute(text)
 

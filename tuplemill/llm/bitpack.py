@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import batches_of, shuffle_partitions, work_path
 
 MAGIC, END = b"TMBP", "PBMT"
-HEAD = struct.Struct("<4sHHIQQqq")
+HEAD = "<4sHHIQQqq"
+HEAD_SIZE = struct.calcsize(HEAD)
 BLOCK = 4096
 _STRIP = ".,!*#$%&|"
 
@@ -72,7 +73,7 @@ def encode_shard(doc_ids: list, counts: list[int], ids: np.ndarray, bits: int, p
     blocks = [pack(ids[a : a + block], bits) for a in range(0, len(ids), block)]
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     return b"".join([
-        HEAD.pack(MAGIC, 1, bits, block, len(doc_ids), len(ids), partition, number),
+        struct.pack(HEAD, MAGIC, 1, bits, block, len(doc_ids), len(ids), partition, number),
         known.tobytes(),
         np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         np.r_[0, np.cumsum(counts, dtype=np.uint64)].astype("<u8").tobytes(),
@@ -85,10 +86,10 @@ class Shard:
     """Reads a shard file; ``ids(a, b)`` touches only the blocks it needs."""
 
     def __init__(self, data: bytes) -> None:
-        magic, version, self.bits, self.block, self.n_docs, self.n_ids, self.partition, self.number = HEAD.unpack_from(data)
+        magic, version, self.bits, self.block, self.n_docs, self.n_ids, self.partition, self.number = struct.unpack_from(HEAD, data)
         if magic != MAGIC or version != 1 or data[-len(END) :] != END.encode():
             raise ValueError("not a complete bit-packed shard")
-        at, n = HEAD.size, self.n_docs
+        at, n = HEAD_SIZE, self.n_docs
         known = np.frombuffer(data, "<i8", n, at)
         null = np.frombuffer(data, np.uint8, n, at + 8 * n)
         self.doc_ids = [None if z else int(d) for d, z in zip(known, null, strict=True)]
@@ -263,7 +264,7 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [HEAD.unpack(data.as_buffer().slice(0, HEAD.size).to_pybytes())[5:] for data in b.column(0)]
+            found = [struct.unpack(HEAD, data.as_buffer().slice(0, HEAD_SIZE).to_pybytes())[5:] for data in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 0)], ["partition", "number", "shard_ids"])
 
     shards = _shard_files(spark, path).mapInArrow(heads, "partition bigint, number bigint, shard_ids bigint")

@@ -62,21 +62,30 @@ def batches_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) ->
             yield b.slice(at, step)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; to be called on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Run a Python row function over Arrow batches of the named columns.
 
     ``make()`` runs once per task and returns ``row(*values) -> tuple``, one
     output row for each input row.  Only the named columns leave the JVM.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    fields = to_arrow_schema(_parse_datatype_string(schema))
+    fields = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()
         for b in batches_of(batches):
-            out = [row(*values) for values in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+            yield record_batch([row(*values) for values in zip(*(c.to_pylist() for c in b.columns), strict=True)], fields)
 
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, langid, pii, warc
+from . import bitpack, exactdedup, langid, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_table(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -42,10 +46,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
         "op4_warc": op4_warc,
+        "op5_exact_dedup": op5_exact_dedup,
         "op8_token_ids": op8_token_ids,
         "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_dedup": exactdedup.ORACLE,
+    }

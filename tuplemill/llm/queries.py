@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, exactdedup, langid, pii, warc
+from . import bitpack, exactdedup, langid, license, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("span_list")
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_token_ids": op8_token_ids,
+        "op9_license": op9_license,
         "op10_pii": op10_pii,
     }
 
@@ -55,4 +60,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": exactdedup.ORACLE,
+        "op9_license": license.oracle(),
     }

@@ -120,7 +120,7 @@ class WordEncoder:
     bounded size.
     """
 
-    KEEP = 150_000
+    KEEP = 500_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -129,43 +129,41 @@ class WordEncoder:
         self.vocabulary = self._library.get_vocab_size()
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        probe = "Ab's  cd,. 12'x\ny\tz\x1f! é ́a B!!\n\n#Q. <|endoftext|>. "
+        probe = "Ab's  cd,. 12'x\ny\tz\x1f! é ́a B!!\n\n#Q. <|endoftext|>. "
         self._whole = False
-        if self.encode(probe).tolist() != self._library.encode(probe, add_special_tokens=False).ids:
-            self._whole = True
+        self._whole = self.encode(probe).tolist() != self._library.encode(probe, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; what no cache has goes to the library in one call."""
         if self._whole:
-            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
-        out, new, miss = [], self._new, self._missing
-        for piece in text.replace("\n", " ").split(" "):
-            if piece:
-                ids = new.get(piece)
-                out.append(miss(piece) if ids is None else ids)
+            return [np.array(e.ids, np.uint32) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+        # the normaliser lowers anyway; marks of special tokens are matched before it, so such texts stay as they are
+        pieces = [(t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
         if len(self._new) > self.KEEP:
             self._old, self._new = self._new, {}
-        return np.frombuffer(b"".join(out), np.uint32)
-
-    def _missing(self, piece: str) -> bytes:
-        ids = self._old.get(piece)
-        if ids is None:
-            stem = piece.rstrip(_STRIP)
-            if stem and stem != piece and stem[-1].isalnum() and stem[-1] < "ɐ" and stem[-1] != "İ":
-                ids = self._part(stem) + self._part(piece[len(stem) :])
+        new, parts = self._new, {}
+        for piece in set().union(*pieces) - new.keys():
+            if (ids := self._old.get(piece)) is not None:
+                new[piece] = ids
             else:
-                return self._part(piece)
-        self._new[piece] = ids
-        return ids
-
-    def _part(self, piece: str) -> bytes:
-        key = piece.lower() if piece.isascii() and "|" not in piece else piece
-        ids = self._new.get(key)
-        if ids is None:
-            ids = self._old.get(key)
-            if ids is None:
-                ids = np.array(self._library.encode(key, add_special_tokens=False).ids, np.uint32).tobytes()
-            self._new[key] = ids
-        return ids
+                parts[piece] = self._parts(piece)
+        wanted = list({p for ps in parts.values() for p in ps if p not in new})
+        for part, found in zip(wanted, self._library.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
+            new[part] = np.array(found.ids, np.uint32).tobytes()
+        for piece, ps in parts.items():
+            new[piece] = b"".join([new[p] for p in ps])
+        return [np.frombuffer(b"".join(map(new.__getitem__, ps)), np.uint32) for ps in pieces]
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, ...]:
+        """Strings whose ids, in turn, are those of the piece."""
+        stem = piece.rstrip(_STRIP)
+        if stem and stem != piece and stem[-1].isalnum() and stem[-1] < "ɐ" and stem[-1] != "İ":
+            return (stem, piece[len(stem) :])
+        return (piece,)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -202,9 +200,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard
             data = encode_shard(doc_ids, counts, np.concatenate(parts) if parts else np.empty(0, np.uint32), bits, partition, number)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
-        for b in batches_of(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "")
+        for b in batches_of(batches, 2 << 20):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 doc_ids.append(doc_id)
                 counts.append(len(ids) + 1)
                 parts += [ids, end]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, exactdedup, langid, license, pii, warc
+from . import bitpack, exactdedup, langid, license, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op1_language": op1_language,
         "op4_warc": op4_warc,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_quality": op6_quality,
         "op8_token_ids": op8_token_ids,
         "op9_license": op9_license,
         "op10_pii": op10_pii,

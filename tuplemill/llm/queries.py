@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, exactdedup, langid, license, pii, quality, sentencepiece, warc
+from . import bitpack, decontam, exactdedup, langid, license, pii, quality, sentencepiece, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_table(table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_decontamination": op3_decontamination,
         "op4_warc": op4_warc,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_quality": op6_quality,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, decontam, exactdedup, langid, license, pii, quality, sentencepiece, warc
+from . import bitpack, decontam, exactdedup, langid, license, ngramjoin, pii, quality, sentencepiece, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_quality": op6_quality,
+        "op7_ngram_join": op7_ngram_join,
         "op8_token_ids": op8_token_ids,
         "op9_license": op9_license,
         "op10_pii": op10_pii,

@@ -120,7 +120,7 @@ class WordEncoder:
     bounded size.
     """
 
-    KEEP = 500_000
+    KEEP = 360_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

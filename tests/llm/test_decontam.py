@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tuplemill.llm import decontam as dc
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +32,12 @@ def test_edit_distance():
     assert [dc.edit_distance("kitten", "sitting", 9), dc.edit_distance("abc", "abc", 0), dc.edit_distance("", "ab", 5), dc.edit_distance("abcdef", "zzzzzz", 2)] == [3, 0, 2, 3]
 
 
+def test_edit_distances_in_rows():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 4, (300, 7)), rng.integers(0, 4, (300, 9))
+    assert dc.edit_distances(a, b).tolist() == [dc.edit_distance(x.tolist(), y.tolist(), 20) for x, y in zip(a, b, strict=True)]
+
+
 def test_planted_passages_equal_brute_force():
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(300)]

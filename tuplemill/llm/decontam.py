@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +73,18 @@ def edit_distance(a, b, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Word edits between each row of ``a`` and the same row of ``b``."""
+    places = np.arange(b.shape[1] + 1, dtype=np.int32)
+    row = np.repeat(places[None], len(a), 0)
+    for i in range(a.shape[1]):
+        new = row + 1  # a word of a without partner
+        np.minimum(new[:, 1:], row[:, :-1] + (a[:, i, None] != b), out=new[:, 1:])
+        # words of b without partner: the least so far, plus one for each step on
+        row = np.minimum.accumulate(new - places, axis=1) + places
+    return row[:, -1]
+
+
 class Walks:
     """The repeated CGK walks and places sampled for sequences of one length."""
 
@@ -137,7 +148,7 @@ class Index:
             words = self.hashes.of(words_of(text))
             if len(words) >= min_words:
                 by_length.setdefault(len(words), []).append((item_id, words))
-        self.groups, lengths, pairs, owners = [], [], [], []
+        self.groups, self.items, lengths, pairs, owners = [], [], [], [], []
         for length, group in sorted(by_length.items()):
             walks = Walks(length, repeats_for(length, int(rate * length)))
             keys = walks.keys(np.stack([w for _, w in group])).ravel()
@@ -148,6 +159,7 @@ class Index:
                 pairs.append(own)
                 owners.append(np.full(len(own), len(lengths)))
                 lengths.append(length)
+                self.items.append(words)
         # items by pair: item numbers of pair k stand from offsets[k] to offsets[k + 1]
         pair, owner = (np.concatenate(pairs), np.concatenate(owners)) if pairs else (np.empty(0, np.uint64), np.empty(0, np.int64))
         order = np.argsort(pair, kind="stable")
@@ -184,10 +196,17 @@ class Index:
         inside = last < len(item)
         last = np.where(inside, last, 0)
         dense = np.flatnonzero(inside & (item[last] == item) & (place[last] - place <= self.lengths[item] - 2) & (self.lengths[item] <= n))
-        spans: dict[int, set] = {}
+        by_item: dict[int, set] = {}
         for j in dense.tolist():
             length = int(self.lengths[item[j]])
-            spans.setdefault(length, set()).update(range(max(0, int(place[last[j]]) - length + 2), min(int(place[j]), n - length) + 1))
+            by_item.setdefault(int(item[j]), set()).update(range(max(0, int(place[last[j]]) - length + 2), min(int(place[j]), n - length) + 1))
+        spans: dict[int, set] = {}
+        for k, starts in by_item.items():
+            # of a window's words all but the edits are words of the item
+            length, first, end = int(self.lengths[k]), min(starts), max(starts) + int(self.lengths[k])
+            held = np.concatenate([[0], np.cumsum(np.isin(words[first:end], self.items[k]))])
+            at = np.array(sorted(starts), np.int64) - first
+            spans.setdefault(length, set()).update((at[held[at + length] - held[at] >= length - int(self.edits[k])] + first).tolist())
         # texts that are shorter than an item are one window
         held = np.bincount(item, minlength=len(self.lengths))
         for k in np.flatnonzero((self.lengths > n) & (self.lengths - self.edits <= n) & (held >= n - 1 - 2 * self.edits)).tolist():
@@ -205,16 +224,18 @@ class Index:
     def _verified(words, starts, windows, length, edits, group, walks, keys, owners, found) -> set:
         got = walks.keys(windows)
         low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-        hits = Counter((int(w), int(owners[k])) for r, w in zip(*np.nonzero(high > low), strict=True) for k in range(low[r, w], high[r, w]))
+        r, w = np.nonzero(high > low)
+        if not len(r):
+            return set()
+        counts = high[r, w] - low[r, w]
+        owner = owners[np.repeat(low[r, w] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
+        pair = np.unique(np.repeat(w, counts) * len(group) + owner)
+        w, owner = pair // len(group), pair % len(group)
+        stack = np.stack([g[1] for g in group])
         out: set = set()
-        for (w, owner), _ in hits.most_common():  # the likeliest first: one window proves an item
-            item_id, item = group[owner]
-            if item_id in found or item_id in out:
-                continue
-            part, own = words[starts[w] : starts[w] + length].tolist(), item.tolist()
-            known = set(own)
-            if sum(x in known for x in part) >= length - edits and edit_distance(part, own, edits) <= edits:
-                out.add(item_id)
+        for a in range(0, len(w), 2048):
+            near = edit_distances(windows[w[a : a + 2048], : min(length, len(words))], stack[owner[a : a + 2048]]) <= edits
+            out |= {group[k][0] for k in np.unique(owner[a : a + 2048][near]).tolist()}
         return out
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,13 +108,23 @@ def dump(tree) -> str:
     return json.dumps(tree, ensure_ascii=False)
 
 
-def _value(v) -> dict:
-    out = dict.fromkeys(("i", "d", "x", "s", "b", "r"))
-    if isinstance(v, (list, tuple)):
-        return out | {"t": values.RECORD}
+def _value(v) -> tuple:
+    """(type, int, double, string) of a member."""
+    if isinstance(v, str):
+        return (values.STR, None, None, v)
     if isinstance(v, int):
-        return out | {"t": values.INT, "i": v}
-    return out | ({"t": values.DOUBLE, "d": v} if isinstance(v, float) else {"t": values.STR, "s": v})
+        return (values.INT, v, None, None)
+    return (values.DOUBLE, None, v, None) if isinstance(v, float) else (values.RECORD, None, None, None)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``rows_of`` as Arrow columns."""
+    column = lambda k, kind: pa.array([r[k] for r in rows], kind)
+    value = lambda k, kind: pa.array([r[6][k] for r in rows], kind)
+    none = lambda kind: pa.nulls(len(rows), kind)
+    tval = pa.StructArray.from_arrays([value(0, pa.int8()), value(1, pa.int64()), value(2, pa.float64()), none(pa.string()), value(3, pa.string()), none(pa.binary()), none(pa.int64())], ["t", "i", "d", "x", "s", "b", "r"])
+    columns = [column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int32()), column(3, pa.int32()), column(4, pa.string()), column(5, pa.bool_()), tval, column(7, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "parent", "ord", "key", "element", "value", "subtree"])
 
 
 def rows_of(doc_id: int, tree) -> Iterator[tuple]:
@@ -146,18 +157,20 @@ def rows_of(doc_id: int, tree) -> Iterator[tuple]:
 def shred(docs: DataFrame, id_col: str = "doc_id", text_col: str = "doc") -> DataFrame:
     """The key and value table of all valid documents; others have no rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "node", "parent", "ord", "key", "element", "value", "subtree"]
-        for frame in frames:
-            out = []
-            for doc_id, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    out += rows_of(doc_id, load(text))
+                    out += rows_of(doc_id, load(text.as_py()))
                 except ValueError:
                     continue
-            yield pd.DataFrame(out, columns=names)
+                if len(out) >= 50_000:
+                    yield _batch(out)
+                    out = []
+            yield _batch(out)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInPandas(run, KV_SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, KV_SCHEMA)
 
 
 def is_valid(text: Column) -> Column:
@@ -180,30 +193,36 @@ def printed(text: Column) -> Column:
     return show(text)
 
 
-def clause(kv: DataFrame, key: str, value) -> DataFrame:
-    """Ids of the documents that hold ``key`` with ``value`` at any depth.
+def _stored(value):
+    """A Python list or dict as documents keep it."""
+    if isinstance(value, (dict, list, tuple)):
+        return _container(json.loads(json.dumps(value), object_pairs_hook=lambda p: list(p) or _Empty()))
+    return value
+
+
+def clause(key: str, value) -> Column:
+    """Whether a row of the table holds ``key`` with ``value``.
 
     A list or dict value is compared as a whole, members in order; any other
     value also matches as an element of an array under that key.
     """
-    hit = F.col("key") == key
-    if isinstance(value, dict):
-        value = _container([(k, v) for k, v in value.items()] and json.loads(json.dumps(value), object_pairs_hook=lambda p: list(p) or _Empty()))
-    elif isinstance(value, (list, tuple)):
-        value = _container(json.loads(json.dumps(list(value)), object_pairs_hook=lambda p: list(p) or _Empty()))
-    if isinstance(value, (list, tuple)):
-        hit = hit & (F.col("subtree") == dump(value))
-    else:
-        hit = hit & (F.col("value") == values.of_python(value))
-    return kv.where(hit).select("doc_id").distinct()
+    value = _stored(value)
+    same = F.col("subtree").eqNullSafe(dump(value)) if isinstance(value, (list, tuple)) else F.col("value") == values.of_python(value)
+    return (F.col("key") == key) & same
 
 
 def find(kv: DataFrame, query: dict) -> DataFrame:
-    """Ids of the documents that hold every key and value of ``query``."""
+    """Ids of the documents that hold every key and value of ``query``, at any depth.
+
+    All clauses are answered in one pass over the table: rows that meet none
+    are left out, and what is left is reduced per document before the shuffle.
+    """
     if not query:
         return kv.select("doc_id").distinct()
-    found = [clause(kv, k, v) for k, v in query.items()]
-    return reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), found)
+    hits = [clause(k, v) for k, v in query.items()]
+    met = kv.where(reduce(lambda a, b: a | b, hits)).select("doc_id", *[h.alias(f"h{n}") for n, h in enumerate(hits)])
+    every = reduce(lambda a, b: a & b, [F.col(f"h{n}") for n in range(len(hits))])
+    return met.groupBy("doc_id").agg(*[F.max(f"h{n}").alias(f"h{n}") for n in range(len(hits))]).where(every).select("doc_id")
 
 
 def containing(kv: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -148,7 +148,8 @@ class Index:
             words = self.hashes.of(words_of(text))
             if len(words) >= min_words:
                 by_length.setdefault(len(words), []).append((item_id, words))
-        self.groups, self.items, lengths, pairs, owners = [], [], [], [], []
+        self.groups, self.bags, self.group_of, self.ids = [], [], [], []
+        lengths, pairs, owners = [], [], []
         for length, group in sorted(by_length.items()):
             walks = Walks(length, repeats_for(length, int(rate * length)))
             keys = walks.keys(np.stack([w for _, w in group])).ravel()
@@ -159,7 +160,9 @@ class Index:
                 pairs.append(own)
                 owners.append(np.full(len(own), len(lengths)))
                 lengths.append(length)
-                self.items.append(words)
+                self.bags.append(np.unique(words, return_counts=True))
+                self.group_of.append(len(self.groups) - 1)
+            self.ids += [i for i, _ in group]
         # items by pair: item numbers of pair k stand from offsets[k] to offsets[k + 1]
         pair, owner = (np.concatenate(pairs), np.concatenate(owners)) if pairs else (np.empty(0, np.uint64), np.empty(0, np.int64))
         order = np.argsort(pair, kind="stable")
@@ -200,28 +203,47 @@ class Index:
         for j in dense.tolist():
             length = int(self.lengths[item[j]])
             by_item.setdefault(int(item[j]), set()).update(range(max(0, int(place[last[j]]) - length + 2), min(int(place[j]), n - length) + 1))
-        spans: dict[int, set] = {}
+        found: set = set()
         for k, starts in by_item.items():
-            # of a window's words all but the edits are words of the item
-            length, first, end = int(self.lengths[k]), min(starts), max(starts) + int(self.lengths[k])
-            held = np.concatenate([[0], np.cumsum(np.isin(words[first:end], self.items[k]))])
-            at = np.array(sorted(starts), np.int64) - first
-            spans.setdefault(length, set()).update((at[held[at + length] - held[at] >= length - int(self.edits[k])] + first).tolist())
+            # of a window's words all but the edits are words of the item, each as often as there at most
+            length, at = int(self.lengths[k]), np.array(sorted(starts), np.int64)
+            own = np.concatenate([self._shared_words(words, at[a : a + 2048], k) for a in range(0, len(at), 2048)])
+            good = own >= length - int(self.edits[k])
+            if not good.any():
+                continue
+            # the fullest windows first: one is enough for an item
+            order = np.argsort(-own[good], kind="stable")
+            found |= self._search(words, at[good][order], words, k, found)
         # texts that are shorter than an item are one window
         held = np.bincount(item, minlength=len(self.lengths))
         for k in np.flatnonzero((self.lengths > n) & (self.lengths - self.edits <= n) & (held >= n - 1 - 2 * self.edits)).tolist():
-            spans.setdefault(int(self.lengths[k]), set()).add(0)
-        found: set = set()
-        for length, edits, group, walks, keys, owners in self.groups:
-            starts = np.array(sorted(spans.get(length, ())), np.int64)
-            padded = words if n >= length else np.concatenate([words, np.zeros(length - n, np.uint64)])
-            for a in range(0, len(starts), 256):
-                part = starts[a : a + 256]
-                found |= self._verified(words, part, padded[part[:, None] + np.arange(length)], length, edits, group, walks, keys, owners, found)
+            padded = np.concatenate([words, np.zeros(int(self.lengths[k]) - n, np.uint64)])
+            found |= self._search(words, np.zeros(1, np.int64), padded, k, found)
         return sorted(found, key=lambda i: (i is None, i))
 
+    def _shared_words(self, words, starts, k: int) -> np.ndarray:
+        """The size of the multiset intersection of each window with item ``k``."""
+        kinds, often = self.bags[k]
+        length, n = int(self.lengths[k]), len(kinds)
+        part = words[starts[0] : starts[-1] + length]
+        place = np.minimum(np.searchsorted(kinds, part), n - 1)
+        place = np.where(kinds[place] == part, place, n)
+        windows = place[(starts - starts[0])[:, None] + np.arange(length)] + np.arange(len(starts))[:, None] * (n + 1)
+        held = np.bincount(windows.ravel(), minlength=len(starts) * (n + 1)).reshape(len(starts), n + 1)
+        return np.minimum(held[:, :n], often).sum(1)
+
+    def _search(self, words, starts, padded, k: int, found: set) -> set:
+        """Items of item ``k``'s length that windows match, until item ``k`` is among them."""
+        length, edits, group, walks, keys, owners = self.groups[self.group_of[k]]
+        item_id, out, at, size = self.ids[k], set(found), 0, 8
+        while at < len(starts) and item_id not in out:
+            part = starts[at : at + size]
+            out |= self._verified(words, part, padded[part[:, None] + np.arange(length)], length, edits, group, walks, keys, owners)
+            at, size = at + size, 256
+        return out
+
     @staticmethod
-    def _verified(words, starts, windows, length, edits, group, walks, keys, owners, found) -> set:
+    def _verified(words, starts, windows, length, edits, group, walks, keys, owners) -> set:
         got = walks.keys(windows)
         low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
         r, w = np.nonzero(high > low)

@@ -102,7 +102,7 @@ class Ranker:
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, epochs: int = 300, l2: float = 1e-3, seed: int = 11) -> Ranker:
-    """Fit by full-batch Newton-like (Adam) steps on random preference pairs.
+    """Fit by mini-batch Adam steps on random preference pairs.
 
     The threshold is the quantile of the scores, among all quantiles, at which
     the labels' balanced accuracy is largest.  Without both labels there is no

@@ -33,3 +33,10 @@ def test_degenerate_inputs(spark):
     assert len(quality.learn_and_score(docs, labels.limit(0)).collect()) == 5
     assert quality.learn_and_score(docs.limit(0), labels).count() == 0
     assert len(quality.features("a " * 300_000)) == quality.SHAPES + 12
+
+
+def test_words_of_long_texts_are_counted():
+    one = [f"w{i % 5000}" for i in range(199_999)]
+    for words in (one, [*one, "w0"], one + one):
+        stats = quality.features(" ".join(words))[quality.SHAPES :]
+        assert stats[6] == 5000 / len(words) and stats[7] == words.count("w0") / len(words)

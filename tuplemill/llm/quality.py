@@ -10,6 +10,7 @@ that the threshold lies at ``cut``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,14 +72,14 @@ def features(text: str | None) -> np.ndarray:
     share = np.bincount(codes, minlength=64) / n
     letters = share[0] + share[1]
     lines = text.split("\n")
-    sizes = np.bincount(np.unique(words, return_inverse=True)[1]) if m < 200_000 else np.array([m])
+    counts = Counter(words)
     stats[1] = letters
     stats[2] = share[1] / letters if letters else 0
     stats[3] = share[2]
     stats[4] = share[6:].sum()
     stats[5] = share[5]
-    stats[6] = len(sizes) / m
-    stats[7] = sizes.max() / m
+    stats[6] = len(counts) / m
+    stats[7] = max(counts.values()) / m
     stats[8] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / m
     stats[9] = len(set(lines)) / len(lines)
     stats[10] = min(n / m, 40) / 40

@@ -59,3 +59,32 @@ def test_documents_equal_oracle(spark, sf):
 def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a", 0, "z")], SCHEMA)
     assert not re.search("Python|Pandas|MapInArrow", lic.scan(docs)._jdf.queryExecution().toString())
+
+
+WRAPPED = [
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "This work is licensed under the GNU General\nPublic License, version 3",
+    " * All rights\r\n *\r\n * reserved.", "all\nrights x reserved", "all\nall\nrights\nall\nreserved", "all reserved\nall all\nrights",
+    "\n".join("this source code form is subject to the terms of the mozilla public license".split()), "This Source Code Form is subject\nto terms of a Mozilla Public\nLicense",
+    "all\n" * 60_000 + "rights\nreserved", "of the\n" * 60_000, "mozilla public x y\n" + "z " * 9 + "this source code form is subject to the terms of", None, "\n",
+]
+
+
+def brute_runs(text):
+    """Labels and best containment of lines and of runs of a template's length."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    low = (text or "").translate(str.maketrans(lic.UPPER, lic.LOWER))
+    ws, labels, best = words(low), set(), 0.0
+    for label, t in lic.TEMPLATES:
+        n, t = len(t.split()), set(t.split())
+        for block in [words(b) for b in low.split("\n")] + [ws[i : i + n] for i in range(len(ws))]:
+            if len(t.intersection(block)) >= 0.8 * len(t) - 1e-9:
+                labels.add(label)
+                best = max(best, len(t.intersection(block)) / len(t))
+    return ",".join(sorted(labels)), best
+
+
+def test_wrapped_statements_equal_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, 0, "z") for i, t in enumerate(WRAPPED)], SCHEMA)
+    got = [(r.labels, r.score) for r in lic.scan(docs).orderBy("doc_id").collect()]
+    assert got == [brute_runs(t) for t in WRAPPED]
+    assert got[0][0] == "bsd-3" and got[1] == ("gpl-3,lgpl-3", 1.0) and got[2] == ("all-rights-reserved", 1.0) and got[3] == ("", 0.0)

@@ -1,13 +1,17 @@
 """License statements by exact set-similarity join (operator 9).
 
-Text blocks (lines) meet license templates where a block holds at least
-``threshold`` of a template's distinct words.  Template words are ordered by
-the number of blocks of the whole corpus that hold them, rarest first.  Three
+Text blocks meet license templates where a block holds at least ``threshold``
+of a template's distinct words.  Blocks are lines, and for statements wrapped
+over line ends all runs of as many words as the template has, wherever lines
+end.  Template words are ordered by the number of lines of the whole corpus
+that hold them, rarest first.  For lines, three
 exact filters come before the overlap is counted: *prefix* (a block must hold
 one of a template's first ``n - need + 1`` words), *length* (a block must have
 ``need`` distinct words) and *position* (what is left of template and block
-after their first common word must suffice).  All of it is DataFrame functions
-on one row per document: nothing is shuffled but one count per template word.
+after their first common word must suffice).  For runs, only the places of
+template words are looked at, in texts of several lines that hold enough of
+them.  All of it is DataFrame functions on one row per document: nothing is
+shuffled but one count per template word.
 """
 
 from __future__ import annotations
@@ -86,9 +90,14 @@ def ordered_templates(docs: DataFrame, text_col: str = "text", templates=TEMPLAT
     return out
 
 
+def _prefixes(templates: list[Template], threshold: float) -> dict[Template, tuple[str, ...]]:
+    """The words of each template of which a block that meets it must hold one."""
+    return {t: t[1][: len(t[1]) - needed(len(t[1]), threshold) + 1] for t in templates}
+
+
 def _matches(low: Column, templates: list[Template], threshold: float) -> Column:
-    """Array of (label, containment) of all blocks and templates that meet."""
-    prefix = {t: t[1][: len(t[1]) - needed(len(t[1]), threshold) + 1] for t in templates}
+    """Array of (label, containment) of all lines and templates that meet."""
+    prefix = _prefixes(templates, threshold)
     rare = sorted({w for p in prefix.values() for w in p})
     kind = "array<struct<label:string,containment:double>>"
 
@@ -113,6 +122,43 @@ def _matches(low: Column, templates: list[Template], threshold: float) -> Column
     return F.when(low.rlike("|".join(rare)), F.flatten(F.transform(word_sets, of_block))).otherwise(F.array().cast(kind))
 
 
+def _places(low: Column, spaced: Column, templates: list[Template], threshold: float) -> Column:
+    """Array of (word, at) of all template words of a text of several lines.
+
+    Empty where no template's rarest words stand, and for a single line, which
+    is a block itself.
+    """
+    rare = sorted({w for p in _prefixes(templates, threshold).values() for w in p})
+    vocabulary = sorted({w for _, own, _ in templates for w in own})
+    words = F.transform(F.split(F.trim(spaced), " "), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    there = F.contains(low, F.lit("\n")) & low.rlike("|".join(rare))
+    return F.when(there, F.filter(words, lambda h: h["word"].isin(vocabulary))).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
+
+
+def _run_matches(places: Column, held: Column, templates: list[Template], widths: list[int], threshold: float) -> Column:
+    """Array of (label, containment) of the templates that a run of ``widths[k]`` words meets.
+
+    ``held`` are the distinct words of ``places``.  One pass over a template's
+    places keeps the last place of each word among the words of a run.
+    """
+
+    def of_template(label: str, own: tuple[str, ...], width: int) -> Column:
+        n, need = len(own), needed(len(own), threshold)
+
+        def step(state: Column, h: Column) -> Column:
+            recent = F.filter(state["recent"], lambda r: (r["at"] > h["at"] - width) & (r["word"] != h["word"]))
+            recent = F.concat(recent, F.array(h))
+            return F.struct(recent.alias("recent"), F.greatest(state["most"], F.size(recent)).alias("most"))
+
+        start = F.struct(F.array().cast("array<struct<word:string,at:int>>").alias("recent"), F.lit(0).alias("most"))
+        mine = F.filter(places, lambda h: h["word"].isin(list(own)))
+        most = F.when(F.size(F.array_intersect(_array(own), held)) >= need, F.aggregate(mine, start, step, lambda state: state["most"]))
+        met = F.filter(F.array(most), lambda c: c >= need)
+        return F.transform(met, lambda c: F.struct(F.lit(label).alias("label"), (c.cast("double") / F.lit(float(n))).alias("containment")))
+
+    return F.flatten(F.array(*[of_template(label, own, widths[k]) for label, own, k in templates]))
+
+
 def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per row of ``docs`` with the licenses that its whole text states.
 
@@ -126,8 +172,11 @@ def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
     ordered = ordered_templates(docs, text_col, templates)
     low = lowered(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), low.alias("low"))
-    rows = rows.select("doc_id", _spaced(F.col("low")).alias("spaced"), _matches(F.col("low"), ordered, threshold).alias("met"))
-    rows = rows.withColumn("n_words", (_spaces(F.col("spaced")) - 1).cast("bigint"))
+    rows = rows.select("doc_id", "low", _spaced(F.col("low")).alias("spaced"), _matches(F.col("low"), ordered, threshold).alias("line_met"))
+    rows = rows.withColumn("n_words", (_spaces(F.col("spaced")) - 1).cast("bigint")).withColumn("places", _places(F.col("low"), F.col("spaced"), ordered, threshold))
+    rows = rows.withColumn("held", F.array_distinct(F.col("places.word")))
+    runs = _run_matches(F.col("places"), F.col("held"), ordered, [len(t.split()) for _, t in templates], threshold)
+    rows = rows.withColumn("met", F.concat("line_met", runs))
     counts, firsts, lasts, labels = [], [], [], []
     for label, phrase in PHRASES.items():
         spaced, held, size = F.col("spaced"), f" {phrase} ", len(phrase.split())
@@ -150,7 +199,11 @@ def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
 
 
 def oracle(threshold: float = 0.8) -> str:
-    """DuckDB SQL for ``scan`` over ``documents``."""
+    """DuckDB SQL for ``scan`` over ``documents``.
+
+    It takes lines as the only blocks, so it doesn't find statements that are
+    wrapped over line ends, which ``scan`` does.
+    """
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     values = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))!r}, {needed(len(set(t.split())), threshold)})" for k, (label, t) in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{label}', {p.split()!r})" for label, p in PHRASES.items())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, shuffle_partitions, work_path
+from .common import batches_of, claim, shuffle_partitions, work_path
 
 MAGIC, END = b"TMBP", "PBMT"
 HEAD = "<4sHHIQQqq"
@@ -177,6 +177,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process, so that its cache outlives a task."""
+    claim("bitpack", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

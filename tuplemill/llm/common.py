@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +17,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary one made.
+    Only a local session that names none gets a temporary one; on a cluster
+    the setting must be there.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="tuplemill-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -52,12 +58,40 @@ def release_shuffles(spark: SparkSession) -> None:
     It does so when the driver collects its garbage, which a driver that only
     plans seldom does of its own accord.
     """
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+class _Holder:
+    """Whose caches a worker process holds now."""
+
+    owner: str | None = None
+    clear: Callable[[], None] | None = None
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Let a worker process keep the caches of one operator only.
+
+    Workers are reused, so that an operator's caches outlive its tasks; the
+    first task of another operator drops them and gives the memory back.
+    """
+    if _Holder.owner == owner:
+        return
+    before, _Holder.owner, _Holder.clear = _Holder.clear, owner, clear
+    if before is not None:
+        before()
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give unused memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,6 +116,12 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
+def digests(data: bytes, size: int = 16) -> pa.Array:
+    """A binary column of values of ``size`` bytes each, without a Python object for each."""
+    n = len(data) // size
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * size), pa.py_buffer(data)])
+
+
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of
+from .common import arrow_schema, batches_of, claim
 
 #: Allowed edits per item word; items shorter than MIN_WORDS never match.
 RATE, MIN_WORDS = 0.25, 5
@@ -285,6 +285,7 @@ _INDEXES: dict[str, Index] = {}
 
 def index_of(key: str, block: list, rate: float) -> Index:
     """One index per worker process and block; older ones go when there are many."""
+    claim("decontam", _INDEXES.clear)
     if key not in _INDEXES:
         if len(_INDEXES) >= 4:
             _INDEXES.clear()

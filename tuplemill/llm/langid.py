@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, record_batch
+from .common import arrow_schema, batches_of, claim, record_batch
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, cosine double"
@@ -102,6 +102,7 @@ _SPACES: dict[tuple, Space] = {}
 
 def space(dims: int, n: int, seed: int) -> Space:
     """One space per worker process and set of parameters."""
+    claim("langid", _SPACES.clear)
     key = (dims, n, seed)
     if key not in _SPACES:
         _SPACES[key] = Space(dims, n, seed)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, record_batch
+from .common import arrow_schema, batches_of, claim, record_batch
 
 SPACE = "▁"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip boolean, ids array<int>"
@@ -214,6 +214,7 @@ _MODELS: dict[int, Model] = {}
 
 def model(data: bytes) -> Model:
     """One model per worker process and file."""
+    claim("sentencepiece", _MODELS.clear)
     key = zlib.crc32(data)
     if key not in _MODELS:
         _MODELS[key] = Model(data)

@@ -1,6 +1,7 @@
 """Corpus preparation: five stages over ``documents``.
 
-Language ID rejects texts without a language; exact deduplication keeps the
+Language ID rejects texts without a letter, and those that are no nearer to any
+language than chance; exact deduplication keeps the
 first of equal texts; the n-gram join keeps one document of each group of near
 copies; decontamination drops documents with benchmark passages; what is left
 is encoded with SentencePiece, and decoded again to prove it.  Each stage gets

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batches_of, claim, record_batch
 
 UNDETERMINED = "und"
+#: A text has a language if its cosine is beyond so many standard deviations of that of random vectors.
+CHANCE = 2.0
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, cosine double"
 
 
@@ -132,6 +134,16 @@ class Profiles:
         return self.langs[best], float(1 / np.exp((cosines - cosines[best]) * 20).sum()), float(cosines[best])
 
 
+    def identified(self, text: str | None, bound: float) -> bool:
+        """Whether the cosine with some prototype is ``bound`` at least; without prototypes, whether there is a letter."""
+        if not text:
+            return False
+        if not self.langs:
+            return space(self.dims, self.n, self.seed).ngrams(text) is not None
+        lang, _, cosine = self.predict(text)
+        return lang != UNDETERMINED and cosine >= bound
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dims: int = 1024, n: int = 3, seed: int = 7) -> Profiles:
     """Learn a prototype for each value of ``lang_col`` from all rows of ``docs``.
 
@@ -185,15 +197,19 @@ def learn_and_identify(docs: DataFrame, **parameters) -> DataFrame:
     return identify(docs, train(docs.where(F.col("doc_id").isNotNull() & ~held_out()), **parameters))
 
 
-def filter_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+def filter_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", chance: float = CHANCE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language.
 
-    Rejected are texts that are null or have no letter.
+    Rejected are texts that are null or have no letter, and texts as far from
+    every prototype as chance: the cosine of two random vectors varies by
+    ``1 / sqrt(dims)``, and a text must come nearer to some language than
+    ``chance`` times that.  Where no language was learned, texts with a letter
+    stay.  Repeated rows stay or go alike.
     """
-    place = docs.columns.index(text_col)
+    place, bound = docs.columns.index(text_col), chance / profiles.dims**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
-            yield b.filter(pa.array([profiles.predict(t.as_py())[0] != UNDETERMINED for t in b.column(place)], pa.bool_()))
+            yield b.filter(pa.array([profiles.identified(t.as_py(), bound) for t in b.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

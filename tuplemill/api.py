@@ -7,6 +7,11 @@ snapshot.  With logging on, changes also go to a journal of Parquet files that
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,14 @@ from .plans.layout import Catalog, Layout
 from .sources import snapshot
 
 _SPACES: dict[str, DataFrame] = {}
+_LOCKS: dict[str, threading.RLock] = {}
+#: Seconds that a writer waits for another one.
+LOCK_SECONDS = 2.0
+
+
+class LockedError(RuntimeError):
+    """Another connection is writing to the space."""
+
 
 # -- constructors of structured records
 
@@ -47,6 +60,7 @@ def create(name: str, df: DataFrame) -> Connection:
     if name in _SPACES:
         raise ValueError(f"there is a space {name!r} already")
     _SPACES[name] = df if "rid" in df.columns else store.with_rids(df)
+    _LOCKS[name] = threading.RLock()
     return Connection(name)
 
 
@@ -58,6 +72,7 @@ def attach(name: str) -> Connection:
 
 def drop(name: str) -> None:
     _SPACES.pop(name, None)
+    _LOCKS.pop(name, None)
 
 
 def load(name: str, spark: SparkSession, path: str) -> Connection:
@@ -66,18 +81,38 @@ def load(name: str, spark: SparkSession, path: str) -> Connection:
 
 
 class Connection:
-    """One writer's view of a space."""
+    """One writer's view of a space.
+
+    Any number of connections read; one at a time writes.  A change waits for
+    the lock of the space for a while and raises ``LockedError`` then;
+    ``writing`` holds it over several changes.
+    """
 
     def __init__(self, name: str) -> None:
-        self.name, self._log, self._seq, self._catalog = name, None, 0, None
+        self.name, self._log, self._catalog = name, None, None
 
     @property
     def records(self) -> DataFrame:
         return _SPACES[self.name]
 
-    def _set(self, df: DataFrame) -> None:
+    @contextmanager
+    def writing(self) -> Iterator[Connection]:
+        lock = _LOCKS[self.name]
+        if not lock.acquire(timeout=LOCK_SECONDS):
+            raise LockedError(f"another connection is writing to {self.name!r}")
+        try:
+            yield self
+        finally:
+            lock.release()
+
+    def _set(self, df: DataFrame, new: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """A new snapshot; layouts follow by the rows that came (``new``) and the ids of those that went (``gone``)."""
         _SPACES[self.name] = durable(df)  # a snapshot of its own, whatever the old one was made of
-        self._catalog = None
+        if self._catalog is not None:
+            if new is None and gone is None:
+                self._catalog = None
+            else:
+                self._catalog.follow(self.records, new, gone)
 
     # queries
 
@@ -97,30 +132,48 @@ class Connection:
     # changes
 
     def insert(self, rows: list[dict] | DataFrame) -> None:
-        """Add rows; ids follow the largest there is."""
-        spark = self.records.sparkSession
-        if not isinstance(rows, DataFrame):
-            fields = [f for f in self.records.schema.fields if f.name != "rid"]
-            rows = spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], self.records.drop("rid").schema)
-        start = (self.records.agg(F.max("rid")).first()[0] or -1) + 1 if not self.records.isEmpty() else 0
-        new = durable(store.with_rids(rows, start=start))
-        self._set(store.insert(self.records, new))
-        self._journal(new, snapshot.CREATE)
-        self._journal(new, snapshot.SET)
-
-    def update(self, changes: dict, arglist=(), matchrec=None) -> None:
-        hit = predicates.conjunction(self.records, list(arglist), matchrec)
-        ids = durable(self.records.where(hit).select("rid"))
-        self._set(store.update_where(self.records, changes, arglist, matchrec))
-        self._journal(self.records.join(ids, "rid", "left_semi").select("rid", *changes), snapshot.SET)
+        """Add rows; ids follow the largest there is, in order of the rows of a list."""
+        with self.writing():
+            last = self.records.agg(F.max("rid")).first()[0]
+            start = 0 if last is None else last + 1
+            if isinstance(rows, DataFrame):
+                self.add_rows(store.with_rids(rows, start=start))
+            else:
+                self.add_rows(self.records.sparkSession.createDataFrame([tuple(start + k if f == "rid" else r.get(f) for f in self.records.columns) for k, r in enumerate(rows)], self.records.schema))
+
+    def add_rows(self, new: DataFrame) -> None:
+        """Add rows that have ids of their own."""
+        with self.writing():
+            new = durable(new)
+            self._set(store.insert(self.records, new), new=store.insert(self.records.limit(0), new))
+            self._journal(new, snapshot.CREATE)
+            self._journal(new, snapshot.SET)
+
+    def update(self, changes: dict, arglist=(), matchrec=None) -> int:
+        return self.update_rows(self.records.where(predicates.conjunction(self.records, list(arglist), matchrec)).select("rid"), changes)
+
+    def update_rows(self, ids: DataFrame, changes: dict) -> int:
+        """Set columns of the rows with the ids of ``ids`` (rid); how many there were."""
+        with self.writing():
+            ids = durable(ids)
+            old = self.records.join(ids, "rid", "left_semi")
+            new = durable(store.update_where(old, changes).select(self.records.columns))
+            self._set(self.records.join(ids, "rid", "left_anti").select(self.records.columns).unionByName(new), new=new, gone=ids)
+            self._journal(new.select("rid", *changes), snapshot.SET)
+            return ids.count()
 
     def delete(self, arglist=(), matchrec=None, links: DataFrame | None = None) -> int:
         """Delete the matches; with ``links`` those that others refer to are an error."""
-        gone = durable(self.records.where(predicates.conjunction(self.records, list(arglist), matchrec)).select("rid"))
-        left = store.delete_strict(self.records, links, gone.withColumnRenamed("rid", "gone_rid")) if links is not None else self.records.join(gone, "rid", "left_anti")
-        self._set(left)
-        self._journal(gone, snapshot.DELETE)
-        return gone.count()
+        return self.delete_rows(self.records.where(predicates.conjunction(self.records, list(arglist), matchrec)).select("rid"), links)
+
+    def delete_rows(self, ids: DataFrame, links: DataFrame | None = None) -> int:
+        """Delete the rows with the ids of ``ids`` (rid); how many there were."""
+        with self.writing():
+            gone = durable(ids)
+            left = store.delete_strict(self.records, links, gone.withColumnRenamed("rid", "gone_rid")) if links is not None else self.records.join(gone, "rid", "left_anti").select(self.records.columns)
+            self._set(left, gone=gone)
+            self._journal(gone, snapshot.DELETE)
+            return gone.count()
 
     # logging
 
@@ -130,11 +183,19 @@ class Connection:
     def stop_logging(self) -> None:
         self._log = None
 
+    def _next_seq(self) -> int:
+        """One more than the largest number in the log, whoever wrote it."""
+        spark = self.records.sparkSession
+        try:
+            last = spark.read.schema(snapshot.JOURNAL).parquet(self._log).agg(F.max("seq")).first()[0]
+        except AnalysisException:  # no log yet
+            last = None
+        return 1 if last is None else last + 1
+
     def _journal(self, rows: DataFrame, op: str) -> None:
         if self._log is None:
             return
-        self._seq += 1
-        base = F.lit(self._seq).cast("bigint")
+        base = F.lit(self._next_seq()).cast("bigint")
         if op == snapshot.SET:
             columns = [c for c in rows.columns if c != "rid"]
             pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in columns]))
@@ -148,7 +209,8 @@ class Connection:
         spark, schema = self.records.sparkSession, self.records.schema
         text = self.records.select("rid", *[F.col(c).cast("string").alias(c) for c in self.records.columns if c != "rid"])
         after = snapshot.replay(text, spark.read.schema(snapshot.JOURNAL).parquet(path))
-        self._set(after.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
+        with self.writing():
+            self._set(after.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
 
     def dump(self, path: str) -> None:
         snapshot.dump(self.records, path)
@@ -169,5 +231,16 @@ class Connection:
     def index_id(self, columns: list[str]) -> Layout | None:
         return self.catalog.lookup(columns)
 
+    def drop_index(self, index: Layout) -> None:
+        self.catalog.drop(index)
+
+    def indexes(self) -> list[Layout]:
+        return list(self.catalog.layouts)
+
+    def info(self) -> dict:
+        """Rows, columns, layouts and the bytes of the rows as Spark estimates them."""
+        size = self.records._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return {"name": self.name, "rows": self.records.count(), "columns": self.records.columns, "indexes": len(self.indexes()), "bytes": int(str(size))}
+
     def close(self) -> None:
         self._log = self._catalog = None

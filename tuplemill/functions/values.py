@@ -8,6 +8,9 @@ string, and so on.  Everything is built from Column expressions.
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,14 +97,37 @@ def variable(n) -> Column:
     return tval(VAR, i=n)
 
 
+@dataclass(frozen=True)
+class Typed:
+    """A Python value of a type that Python itself lacks: char, uri, xmlliteral, fixpoint, record, anonconst."""
+
+    kind: str
+    value: object
+    extra: str | None = None
+
+    def column(self) -> Column:
+        makers = {"char": char, "uri": uri, "xmlliteral": xmlliteral, "fixpoint": fixpoint, "record": record, "anonconst": anonconst}
+        if self.kind not in makers:
+            raise TypeError(f"no type {self.kind!r}")
+        if self.kind in ("uri", "xmlliteral"):
+            return makers[self.kind](F.lit(self.value), F.lit(self.extra))
+        return makers[self.kind](F.lit(self.value))
+
+
 def of_python(value) -> Column:
-    """The tagged value of a Python value (None, bool excluded, int, float, str, bytes)."""
+    """The tagged value of a Python value: None, int, float, str, bytes, date, time or ``Typed``; there are no booleans."""
     if isinstance(value, Column):
         return value
+    if isinstance(value, Typed):
+        return value.column()
     if value is None:
         return null_value()
     if isinstance(value, bool):
         raise TypeError("there is no boolean type")
+    if isinstance(value, datetime.date) and not isinstance(value, datetime.datetime):
+        return date(F.lit(value.toordinal()))
+    if isinstance(value, datetime.time):
+        return time(F.lit(((value.hour * 60 + value.minute) * 60 + value.second) * 100 + value.microsecond // 10_000))
     for kind, make in ((int, integer), (float, double), (str, string), (bytes, blob)):
         if isinstance(value, kind):
             return make(F.lit(value))
@@ -212,6 +238,20 @@ def format_datetime(day: Column, t: Column) -> Column:
     return F.concat(F.date_format(date_of(day), "yyyy-MM-dd"), F.lit("T"), format_time(t))
 
 
+def current_date(utc: bool = True) -> Column:
+    """Today's day number, in UTC or in the session's time zone."""
+    now = F.current_timestamp()
+    return day_number(F.to_date(F.to_utc_timestamp(now, F.current_timezone()) if utc else now))
+
+
+def current_time(utc: bool = True) -> Column:
+    """Hundredths of a second since midnight, in UTC or in the session's time zone."""
+    now = F.current_timestamp()
+    now = F.to_utc_timestamp(now, F.current_timezone()) if utc else now
+    cents = F.floor(F.date_format(now, "SSSSSS").cast("int") / 10_000).cast("int")
+    return hms_to_time(F.hour(now), F.minute(now), F.second(now), cents)
+
+
 def fixpoint_units(v: Column) -> Column:
     """Ten-thousandths, rounded half away from zero; NULL beyond -800 to 800."""
     return F.when(v.between(-800, 800), F.round(v * 10_000).cast("bigint"))

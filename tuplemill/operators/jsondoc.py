@@ -12,12 +12,12 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
+from .durable import delete_path, durable
 
 KEY_BYTES, MOST_NESTED = 79, 6
 KV_SCHEMA = f"doc_id bigint, node int, parent int, ord int, key string, element boolean, value {values.TVAL}, subtree string"
@@ -176,9 +176,9 @@ def shred(docs: DataFrame, id_col: str = "doc_id", text_col: str = "doc") -> Dat
 def is_valid(text: Column) -> Column:
     """Whether a text is JSON with a container on top, not nested too deeply."""
 
-    @F.pandas_udf("boolean")
-    def check(texts: pd.Series) -> pd.Series:
-        return texts.map(valid)
+    @F.arrow_udf("boolean")
+    def check(texts: pa.Array) -> pa.Array:
+        return pa.array([valid(t) for t in texts.to_pylist()], pa.bool_())
 
     return check(text)
 
@@ -186,9 +186,15 @@ def is_valid(text: Column) -> Column:
 def printed(text: Column) -> Column:
     """The document as stored, in member order; NULL if it isn't valid."""
 
-    @F.pandas_udf("string")
-    def show(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: dump(load(t)) if valid(t) else None)
+    def one(text: str | None) -> str | None:
+        try:
+            return dump(load(text))
+        except ValueError:
+            return None
+
+    @F.arrow_udf("string")
+    def show(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
     return show(text)
 
@@ -225,6 +231,76 @@ def find(kv: DataFrame, query: dict) -> DataFrame:
     return met.groupBy("doc_id").agg(*[F.max(f"h{n}").alias(f"h{n}") for n in range(len(hits))]).where(every).select("doc_id")
 
 
+def may_hold(text: Column, query: dict) -> Column:
+    """Whether a document's text can hold the keys and plain values of ``query``; never false for one that does.
+
+    A text with a backslash may spell anything in escapes, so it always can.
+    """
+    there = lambda part: F.contains(text, F.lit(part))
+    tests = []
+    for key, value in query.items():
+        if len(key.encode()) < KEY_BYTES - 3:  # longer ones may be cut
+            tests.append(there(json.dumps(key, ensure_ascii=False)))
+        if isinstance(value, str):
+            tests.append(there(json.dumps(value, ensure_ascii=False)))
+        elif isinstance(value, int) and not isinstance(value, bool):
+            tests.append(there(str(abs(value))))
+    return there("\\") | reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def search(docs: DataFrame, query: dict, id_col: str = "doc_id", text_col: str = "doc") -> DataFrame:
+    """``find`` over documents that aren't shredded yet: only those that can match are."""
+    return find(shred(docs.where(may_hold(F.col(text_col), query)), id_col, text_col), query)
+
+
+class JsonIndex:
+    """A kept key and value table: in buckets by key, each sorted by key and value.
+
+    A query reads the buckets of its keys alone.  Documents that are added go
+    to further files; the ids of those that are deleted are kept with the
+    number of the change and no longer found in what was added before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets, self.version = spark, path, buckets, 0
+        self.gone: DataFrame | None = None
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "doc") -> None:
+        self.version += 1
+        kv = shred(docs, id_col, text_col).withColumn("__bucket", self._bucket(F.col("key"))).withColumn("__born", F.lit(self.version))
+        # a common key is dealt to several tasks
+        kv = kv.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(4))).repartition("__bucket", "__salt").drop("__salt")
+        kv.sortWithinPartitions("__bucket", "key", "value").write.mode("append").partitionBy("__bucket").parquet(self.path)
+
+    def delete(self, ids: DataFrame) -> None:
+        """Forget the documents of ``ids`` (doc_id)."""
+        self.version += 1
+        died = ids.select("doc_id", F.lit(self.version).alias("died"))
+        every = died if self.gone is None else self.gone.unionByName(died)
+        self.gone = durable(every.groupBy("doc_id").agg(F.max("died").alias("died")))
+
+    def table(self, keys: list[str] | None = None) -> DataFrame:
+        """The rows of documents that aren't deleted, of some keys or of all."""
+        rows = self.spark.read.parquet(self.path)
+        if keys is not None:
+            cut = [k.encode()[:KEY_BYTES].decode("utf-8", "ignore") for k in keys]
+            buckets = [r[0] for r in self.spark.createDataFrame([(k,) for k in cut], "key string").select(self._bucket(F.col("key"))).distinct().collect()]
+            rows = rows.where(F.col("__bucket").isin(buckets) & F.col("key").isin(cut))
+        if self.gone is not None:
+            rows = rows.join(self.gone, "doc_id", "left").where(F.col("died").isNull() | (F.col("__born") > F.col("died"))).drop("died")
+        return rows.drop("__bucket", "__born")
+
+    def find(self, query: dict) -> DataFrame:
+        """Ids of the documents that hold every key and value of ``query``."""
+        return find(self.table(list(query) or None), query)
+
+    def drop(self) -> None:
+        delete_path(self.spark, self.path)
+
+
 def containing(kv: DataFrame, nodes: DataFrame) -> DataFrame:
     """The documents that hold the (doc_id, node) rows of ``nodes``."""
     return nodes.join(kv.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()

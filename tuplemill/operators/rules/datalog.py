@@ -93,7 +93,7 @@ class RuleSet:
 
     def closure(self, tables: dict[Key, DataFrame], spark: SparkSession | None = None) -> dict[Key, DataFrame]:
         """All facts that follow from ``tables`` and the rule set's own facts."""
-        known = {k: t.toDF(*[f"c{n}" for n in range(k[1])]).distinct() for k, t in tables.items()}
+        known = {k: durable(t.toDF(*[f"c{n}" for n in range(k[1])]).distinct()) for k, t in tables.items()}
         for atom in self.facts:
             spark = spark or SparkSession.getActiveSession()
             row = spark.createDataFrame([tuple(a.value for a in atom.args)], [f"c{n}" for n in range(len(atom.args))])
@@ -121,7 +121,7 @@ class RuleSet:
             if not delta:
                 return known
             for k, found in delta.items():
-                known[k] = durable(known[k].union(found)) if k in known else found
+                known[k] = known[k].union(found) if k in known else found  # of checkpoints: a round adds its own facts alone
             if not any(key_of(a) in derived for _, atoms in self.rules for a in atoms):
                 return known
         raise RuntimeError("the fixpoint needs more rounds than its budget")

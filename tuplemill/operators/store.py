@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans import predicates
+from .durable import durable
 
 NOTDATA = 1  # the meta bit of records that scans don't show
 
@@ -24,12 +25,14 @@ class LinkedError(ValueError):
 def with_rids(df: DataFrame, name: str = "rid", start: int = 0) -> DataFrame:
     """Row ids in order of the rows' content: stable over rereads, without a single-task sort.
 
-    Rows are range-partitioned and sorted; each partition's first id comes
-    from one count per partition.
+    Rows are range-partitioned and sorted, and kept so: each partition's first
+    id comes from one count per partition, and the ids are given to the very
+    rows that were counted.
     """
     spark = df.sparkSession
     keys = df.columns
-    ordered = df.repartitionByRange(*[F.col(c) for c in keys]).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ordered = df.repartitionByRange(*[F.col(c) for c in keys]).sortWithinPartitions(*keys)
+    ordered = durable(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = {r["__part"]: r["n"] for r in ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     base, firsts = start, []
     for part in sorted(counts):
@@ -37,6 +40,7 @@ def with_rids(df: DataFrame, name: str = "rid", start: int = 0) -> DataFrame:
         base += counts[part]
     if not firsts:
         return df.withColumn(name, F.lit(0).cast("bigint"))
+    # one row a partition
     table = F.broadcast(spark.createDataFrame(firsts, "__part int, __base bigint"))
     return ordered.join(table, "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
 
@@ -48,7 +52,7 @@ def scan(space: DataFrame, raw: bool = False) -> DataFrame:
     """All records, without special ones (meta bit 1) unless ``raw``."""
     if raw or "meta" not in space.columns:
         return space
-    return space.where(F.col("meta").bitwiseAND(F.lit(NOTDATA)) == 0)
+    return space.where(F.coalesce("meta", F.lit(0)).bitwiseAND(F.lit(NOTDATA)) == 0)
 
 
 def first(space: DataFrame, rid: str = "rid") -> DataFrame:
@@ -111,8 +115,11 @@ class Cursor:
 # -- changes
 
 
-def insert(space: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fields that new rows lack are NULL."""
+def insert(space: DataFrame, rows: DataFrame, raw: bool = False) -> DataFrame:
+    """Fields that new rows lack are NULL; raw records are seen by raw scans alone."""
+    if raw:
+        space = space if "meta" in space.columns else space.withColumn("meta", F.lit(0))
+        rows = rows.withColumn("meta", F.lit(NOTDATA))
     return space.unionByName(rows, allowMissingColumns=True)
 
 
@@ -159,21 +166,37 @@ def follow(left: DataFrame, link: str, right: DataFrame, rid: str) -> DataFrame:
     return left.join(right, left[link] == right[rid])
 
 
+def external(space: str | Column, rid: Column) -> Column:
+    """A link to a record of another space, by the space's name."""
+    return F.struct((F.lit(space) if isinstance(space, str) else space).alias("space"), rid.cast("bigint").alias("rid"))
+
+
+def follow_external(left: DataFrame, link: str, spaces: dict[str, DataFrame], rid: str = "rid") -> DataFrame:
+    """One hop along links to several spaces: each row of ``left`` beside the record its link names."""
+    tagged = [df.withColumn("__space", F.lit(name)) for name, df in spaces.items()]
+    right = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    on = (left[link]["space"] == right["__space"]) & (left[link]["rid"] == right[rid])
+    return left.join(right, on).drop("__space")
+
+
 def chain(links: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
-    """(start, rid, hops) of all records that ``start`` (rid) reaches along ``links`` (parent, child).
+    """(start, rid, hops) of all records that ``start`` (rid) reaches along ``links`` (parent, child), with the fewest hops.
 
-    A recursive query: each level joins only the rows that the last one found.
-    ``most`` bounds the hops, so that a cycle ends.
+    A semi-naive fixpoint: a round joins only what the last one found, and
+    leaves out what was reached before.  So cycles end, and however many ways
+    lead to a record, it is one row.  ``most`` bounds the hops.
     """
-    spark = links.sparkSession
-    a, b = f"links_{id(links)}", f"start_{id(start)}"
-    links.select("parent", "child").createOrReplaceTempView(a)
-    start.select("rid").createOrReplaceTempView(b)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, rid, hops) MAX RECURSION LEVEL {most + 1} AS (
-          SELECT rid, rid, 0 FROM {b}
-          UNION ALL SELECT w.start, l.child, w.hops + 1 FROM walk w JOIN {a} l ON l.parent = w.rid WHERE w.hops < {most})
-        SELECT * FROM walk""")
+    links = links.select("parent", "child").distinct()
+    found = durable(start.select(F.col("rid").alias("start"), "rid").distinct().withColumn("hops", F.lit(0)))
+    known = [found]
+    for hops in range(1, most + 1):
+        new = found.join(links, F.col("rid") == F.col("parent")).select("start", F.col("child").alias("rid")).distinct()
+        before = reduce(DataFrame.union, known).select("start", "rid")
+        found = durable(new.join(before, ["start", "rid"], "left_anti").withColumn("hops", F.lit(hops)))
+        if found.isEmpty():
+            break
+        known.append(found)
+    return reduce(DataFrame.union, known)
 
 
 def delete_guarded(space: DataFrame, links: DataFrame, of: DataFrame, rid: str = "rid") -> DataFrame:

@@ -42,7 +42,9 @@ def code(cond: str | int) -> int:
 def condition(column: Column, cond: str | int, value) -> Column:
     """``column cond value``, true or false but never NULL; None is the NULL value."""
     cond = code(cond)
-    lit = value if isinstance(value, Column) else F.lit(value)
+    if isinstance(value, Column):
+        return _of_columns(column, cond, value)
+    lit = F.lit(value)
     if value is None:
         return {EQUAL: column.isNull(), NOT_EQUAL: column.isNotNull(), LESSTHAN: F.lit(False), GREATER: column.isNotNull(), LTEQUAL: column.isNull(), GTEQUAL: F.lit(True)}[cond]
     return {
@@ -55,6 +57,18 @@ def condition(column: Column, cond: str | int, value) -> Column:
     }[cond]()
 
 
+def _of_columns(a: Column, cond: int, b: Column) -> Column:
+    """``a cond b`` for two columns, either of which may be NULL."""
+    return {
+        EQUAL: lambda: a.eqNullSafe(b),
+        NOT_EQUAL: lambda: ~a.eqNullSafe(b),
+        LESSTHAN: lambda: b.isNotNull() & (a.isNull() | (a < b)),
+        GREATER: lambda: a.isNotNull() & (b.isNull() | (a > b)),
+        LTEQUAL: lambda: a.isNull() | (b.isNotNull() & (a <= b)),
+        GTEQUAL: lambda: b.isNull() | (a.isNotNull() & (a >= b)),
+    }[cond]()
+
+
 def mixed_condition(value: Column, cond: str | int, against) -> Column:
     """The same for a tagged value, across types."""
     other = values.of_python(against)

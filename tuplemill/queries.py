@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rest
+from . import api, rest
 from .__main__ import query as cli_query
 from .functions import values as v
 from .operators import jsondoc, store
-from .operators.durable import durable
+from .operators.durable import delete_path, durable, scratch
 from .operators.rules import parser
 from .operators.rules.datalog import RuleSet
 from .plans import predicates as p
 from .plans.layout import Catalog
-from .sources import snapshot, triples
+from .sources import generators, snapshot, triples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,13 +42,7 @@ def register(sql: str | None, name: str | None = None) -> Callable:
 
 
 def _scratch(df: DataFrame, name: str) -> str:
-    """A fresh path below the folder that the session shares."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tuplemill-")
-    return f"{base.rstrip('/')}/tuplemill/{name}-{uuid.uuid4().hex}"
+    return scratch(df.sparkSession, name)
 
 
 # -- scans
@@ -68,6 +65,13 @@ def select_limit_offset(t):
     return store.page(t("orders"), 50, 100, "o_orderkey").select(*ORDER.split(", "))
 
 
+@register("SELECT c_custkey, true AS raw FROM customer UNION ALL SELECT -s_suppkey, true FROM supplier UNION ALL SELECT c_custkey, false FROM customer")
+def scan_raw(t):
+    """Raw records show in raw scans alone."""
+    space = store.insert(t("customer").select("c_custkey"), t("supplier").select((-F.col("s_suppkey")).alias("c_custkey")), raw=True)
+    return store.scan(space, raw=True).select("c_custkey", F.lit(True).alias("raw")).union(store.scan(space).select("c_custkey", F.lit(False).alias("raw")))
+
+
 # -- conditions: a NULL literal and a value each, on a column that has NULLs
 
 
@@ -169,6 +173,39 @@ def find_next(t):
     return store.find(t("events"), "value", ">=", 50.0, last=500, rid="event_id").agg(F.min("event_id").alias("event_id"))
 
 
+@register("SELECT event_id, value FROM events WHERE value >= 50 AND (value > 60 OR value = 60 AND event_id > 500) ORDER BY value, event_id LIMIT 1")
+def find_in_index_order(t):
+    """The next match by (value, row id), after a value and a row."""
+    return store.find_ordered(t("events"), "value", ">=", 50.0, last=(60.0, 500), rid="event_id").select("event_id", "value")
+
+
+@register("""WITH c AS (SELECT c_custkey, nullif(c_nationkey, 7) AS a, nullif(c_custkey % 25, 9) AS b FROM customer)
+  SELECT c_custkey, a IS NOT DISTINCT FROM b AS eq, b IS NOT NULL AND (a IS NULL OR a < b) AS lt, a IS NOT NULL AND (b IS NULL OR a > b) AS gt,
+  a IS NULL OR (b IS NOT NULL AND a <= b) AS le, b IS NULL OR (a IS NOT NULL AND a >= b) AS ge FROM c""")
+def filter_columns(t):
+    """Conditions between two columns that both have NULLs."""
+    c = t("customer").select("c_custkey", F.nullif("c_nationkey", F.lit(7)).alias("a"), F.nullif(F.col("c_custkey") % 25, F.lit(9)).alias("b"))
+    return c.select("c_custkey", *[p.condition(F.col("a"), k, F.col("b")).alias(n) for n, k in (("eq", "="), ("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="))])
+
+
+def _dated(t):
+    """Dates, times, chars and URIs in one column."""
+    kind = F.col("o_orderkey") % 4
+    day, cents = v.date(v.day_number(F.to_date("o_orderdate"))), v.time((F.col("o_orderkey") % 86400 * 100).cast("bigint"))
+    return t("orders").select("o_orderkey", F.when(kind == 0, day).when(kind == 1, cents).when(kind == 2, v.char(F.col("o_orderstatus"))).otherwise(v.uri(F.col("o_orderpriority"), F.lit("urn:p:"))).alias("val"))
+
+
+@register("""SELECT o_orderkey, 'date' AS param FROM orders WHERE o_orderkey % 4 = 0 AND o_orderdate::DATE >= DATE '1996-06-01' OR o_orderkey % 4 = 1
+  UNION ALL SELECT o_orderkey, 'time' FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey % 86400 = 3601
+  UNION ALL SELECT o_orderkey, 'char' FROM orders WHERE o_orderkey % 4 = 2 AND o_orderstatus = 'F'
+  UNION ALL SELECT o_orderkey, 'uri' FROM orders WHERE o_orderkey % 4 = 3 AND o_orderpriority = '1-URGENT'""")
+def typed_params(t):
+    """Parameters of every type as Python values."""
+    wanted = {"date": (">=", datetime.date(1996, 6, 1)), "time": ("=", datetime.time(1, 0, 1)), "char": ("=", v.Typed("char", "F")), "uri": ("=", v.Typed("uri", "1-URGENT", "urn:p:"))}
+    rows = _dated(t)
+    return reduce(DataFrame.union, [rows.where(p.mixed_condition(F.col("val"), k, x)).select("o_orderkey", F.lit(n).alias("param")) for n, (k, x) in wanted.items()])
+
+
 @register(f"SELECT {ORDER} FROM orders WHERE o_totalprice >= 200000 AND o_orderstatus <> 'O' AND o_custkey < 900")
 def cli_query_text(t):
     return cli_query(t("orders"), "o_totalprice >= 200000.0 o_orderstatus != O o_custkey < 900".split()).select(*ORDER.split(", "))
@@ -221,10 +258,14 @@ def link_hop(t):
     return store.follow(t("nation"), "n_regionkey", t("region"), "r_regionkey").select("n_name", "r_name")
 
 
-@register("SELECT 'space1:' || n_nationkey AS source, 'space2:' || r_regionkey AS target, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@register("""SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE s_name END AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'regions' ELSE 'suppliers' END AS space
+  FROM nation LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN supplier ON s_suppkey = n_regionkey + 1""")
 def cross_space_link(t):
-    both = store.follow(t("nation"), "n_regionkey", t("region"), "r_regionkey")
-    return both.select(F.concat(F.lit("space1:"), "n_nationkey").alias("source"), F.concat(F.lit("space2:"), "r_regionkey").alias("target"), "r_name")
+    """Links to records of two other spaces."""
+    even = F.col("n_nationkey") % 2 == 0
+    link = store.external(F.when(even, "regions").otherwise("suppliers"), F.when(even, F.col("n_regionkey")).otherwise(F.col("n_regionkey") + 1))
+    spaces = {"regions": t("region").select(F.col("r_regionkey").cast("bigint").alias("rid"), F.col("r_name").alias("name")), "suppliers": t("supplier").select(F.col("s_suppkey").alias("rid"), F.col("s_name").alias("name"))}
+    return store.follow_external(t("nation").withColumn("link", link), "link", spaces).select("n_name", "name", F.col("link.space").alias("space"))
 
 
 @register("SELECT c_custkey FROM customer WHERE c_nationkey <> 4 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -234,11 +275,21 @@ def delete_guarded(t):
 
 
 @register("""WITH RECURSIVE walk(rid, hops) AS (SELECT n_nationkey::BIGINT, 0 FROM nation WHERE n_nationkey = 1
-  UNION ALL SELECT (rid * 7 + 3) % 25, hops + 1 FROM walk WHERE hops < 12) SELECT 1::BIGINT AS start, rid, hops FROM walk""")
+  UNION SELECT (rid * 7 + 3) % 25, hops + 1 FROM walk WHERE hops < 30) SELECT 1::BIGINT AS start, rid, min(hops) AS hops FROM walk GROUP BY rid""")
 def link_chain(t):
     key = F.col("n_nationkey").cast("bigint")
     links = t("nation").select(key.alias("parent"), ((key * 7 + 3) % 25).alias("child"))
-    return store.chain(links, t("nation").where("n_nationkey = 1").select(key.alias("rid")), 12)
+    return store.chain(links, t("nation").where("n_nationkey = 1").select(key.alias("rid")), 30)
+
+
+@register("""WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT + 1 AS b FROM nation UNION ALL SELECT n_nationkey, n_nationkey + 2 FROM nation),
+  walk(start, rid, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation WHERE n_nationkey < 3
+  UNION SELECT start, b, hops + 1 FROM walk JOIN e ON a = rid) SELECT start, rid, min(hops) AS hops FROM walk GROUP BY start, rid""")
+def link_reach(t):
+    """Every record has two links and both twice, so that the ways to it are very many."""
+    key = F.col("n_nationkey").cast("bigint")
+    links = t("nation").select(key.alias("parent"), F.explode(F.array(key + 1, key + 2, key + 1, key + 2)).alias("child"))
+    return store.chain(links, t("nation").where("n_nationkey < 3").select(key.alias("rid")))
 
 
 @register("SELECT s_suppkey, c_custkey, CASE WHEN s_nationkey < c_nationkey THEN -1 WHEN s_nationkey > c_nationkey THEN 1 WHEN s_acctbal < c_acctbal THEN -1 WHEN s_acctbal > c_acctbal THEN 1 ELSE 0 END::INT AS cmp FROM supplier JOIN customer ON s_suppkey = c_custkey")
@@ -276,22 +327,22 @@ def json_shred(t):
 
 @register("SELECT DISTINCT l_orderkey AS doc_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = 17")
 def json_query_1(t):
-    return jsondoc.find(jsondoc.shred(_order_docs(t)), {"part": 17})
+    return jsondoc.search(_order_docs(t), {"part": 17})
 
 
 @register("SELECT DISTINCT o_orderkey AS doc_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_partkey BETWEEN 30 AND 30")
 def json_query_and(t):
-    return jsondoc.find(jsondoc.shred(_order_docs(t)), {"status": "F", "part": 30})
+    return jsondoc.search(_order_docs(t), {"status": "F", "part": 30})
 
 
 @register("SELECT DISTINCT o_orderkey AS doc_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 6")
 def json_array_match(t):
-    return jsondoc.find(jsondoc.shred(_order_docs(t)), {"flags": 6})
+    return jsondoc.search(_order_docs(t), {"flags": 6})
 
 
 @register("SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey = 10 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def json_struct_match(t):
-    return jsondoc.find(jsondoc.shred(_order_docs(t)), {"by": {"cust": 10}})
+    return jsondoc.search(_order_docs(t), {"by": {"cust": 10}})
 
 
 @register("SELECT event_id, event_id % 3 = 0 AS ok FROM events")
@@ -327,45 +378,50 @@ def resultset_unique(t):
     return jsondoc.unique(p.select(t("lineitem"), [("l_quantity", ">", 40.0)]).select("l_orderkey"))
 
 
-# -- layouts
+# -- layouts, kept for each table and built once a session
+
+
+_LAYOUTS: dict[tuple, Catalog] = {}
 
 
-def _catalog(df: DataFrame) -> tuple[Catalog, str]:
-    return Catalog(df), _scratch(df, "layout")
+def _catalog(df: DataFrame, kind: str, columns: list[str], template: dict | None = None) -> Catalog:
+    """A catalog with one layout of a table's columns, built by the first query that asks for it."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, tuple(sorted(df.inputFiles())), tuple(df.columns), kind, tuple(columns), tuple((template or {}).items()))
+    if key not in _LAYOUTS:
+        c, path = Catalog(df), _scratch(df, "layout")
+        c.add_hashed(path, columns, template=template) if kind == "hashed" else c.add_sorted(path, columns[0], template=template)
+        _LAYOUTS[key] = c
+    return _LAYOUTS[key]
 
 
 @register("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 20 AND l_quantity < 22")
 def index_range_scan(t):
-    c, path = _catalog(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
-    c.add_sorted(path, "l_quantity")
+    c = _catalog(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "sorted", ["l_quantity"])
     return c.select([("l_quantity", ">=", 20.0), ("l_quantity", "<", 22.0)])
 
 
 @register("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey = 55")
 def index_point(t):
-    c, path = _catalog(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
-    c.add_sorted(path, "l_partkey")
+    c = _catalog(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "sorted", ["l_partkey"])
     return c.select([("l_partkey", "=", 55)])
 
 
 @register("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000 ORDER BY c_acctbal")
 def index_ordered(t):
-    c, path = _catalog(t("customer").select("c_custkey", "c_acctbal"))
-    c.add_sorted(path, "c_acctbal")
+    c = _catalog(t("customer").select("c_custkey", "c_acctbal"), "sorted", ["c_acctbal"])
     return c.select([("c_acctbal", ">", 9000.0)], ordered=True)
 
 
 @register("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_partkey = 12 AND l_linenumber = 3")
 def hash_lookup(t):
-    c, path = _catalog(t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"))
-    c.add_hashed(path, ["l_partkey", "l_linenumber"], 16)
+    c = _catalog(t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "hashed", ["l_partkey", "l_linenumber"])
     return c.select([("l_partkey", "=", 12), ("l_linenumber", "=", 3)])
 
 
 @register("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 3")
 def template_index(t):
-    c, path = _catalog(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))
-    c.add_sorted(path, "l_quantity", template={"l_returnflag": "R"})
+    c = _catalog(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "sorted", ["l_quantity"], {"l_returnflag": "R"})
     return c.select([("l_returnflag", "=", "R"), ("l_quantity", "<=", 3.0)])
 
 
@@ -458,6 +514,16 @@ def print_value(t):
     return t("nation").select("n_nationkey", v.print_value(v.string(F.col("n_name"))).alias("name"), v.print_value(v.double(F.col("n_regionkey") / 2)).alias("half"), v.print_value(v.uri(F.col("n_name"), F.lit("p"))).alias("link"))
 
 
+@register("""SELECT n_nationkey, unnest(['NULL', '<rec ' || n_nationkey || '>', n_nationkey::VARCHAR, printf('%.6f', n_nationkey / 4), '"' || n_name || '"', '<xsdtype t>"' || n_name || '"', 'p:' || n_name,
+  '<blob ' || strlen(n_name) || '>', n_name[1], printf('%.6f', n_nationkey / 8), '<raw date ' || (n_nationkey + 1) || '>' || strftime(DATE '0001-01-01' + n_nationkey, '%Y-%m-%d'),
+  '<raw time ' || n_nationkey * 100 || '>' || printf('00:00:%02d.00', n_nationkey), '!' || n_name, '?' || n_nationkey]) AS text, generate_subscripts(range(14), 1)::INT AS type FROM nation""")
+def print_all_types(t):
+    """A value of each of the fourteen types."""
+    k, s = F.col("n_nationkey"), F.col("n_name")
+    every = [v.null_value(), v.record(k), v.integer(k), v.double(k / 4), v.string(s), v.xmlliteral(s, F.lit("t")), v.uri(s, F.lit("p")), v.blob(F.encode(s, "UTF-8")), v.char(s), v.fixpoint(k / 8), v.date(k + 1), v.time(k * 100), v.anonconst(s), v.variable(k)]
+    return t("nation").select("n_nationkey", F.explode(F.array(*every)).alias("val")).select("n_nationkey", v.print_value(F.col("val")).alias("text"), F.col("val.t").cast("int").alias("type"))
+
+
 @register("""SELECT n_nationkey, '[' || n_nationkey || ',"' || n_name || '",NULL,' || printf('%.6f', n_regionkey / 2) || ']' AS line FROM nation""")
 def print_record(t):
     return t("nation").select("n_nationkey", v.print_record(_nation_fields()).alias("line"))
@@ -498,6 +564,126 @@ def rest_param_types(t):
     return rest.search(t("orders"), request, "o_orderkey").select(*ORDER.split(", "))
 
 
+@register("SELECT c_custkey, CASE WHEN c_nationkey = 4 OR c_custkey IN (10, 20) THEN 0.5 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 4 THEN 'changed' ELSE c_name END AS c_name FROM customer")
+def rest_update(t):
+    c = t("customer").select("c_name", "c_acctbal", "c_nationkey", "c_custkey")
+    c = rest.update(c, rest.request_of("op=update&field=2&value=4&ufield=1&uvalue=0.5&ufield=c_name&uvalue=changed"), "c_custkey")
+    return rest.update(c, rest.request_of("op=update&recids=10,20&ufield=1&uvalue=0.5"), "c_custkey").select("c_custkey", "c_acctbal", "c_name")
+
+
+@register("SELECT c_custkey, c_name FROM customer WHERE NOT (c_nationkey <= 20 AND c_acctbal > 0)")
+def rest_delete(t):
+    left, _ = rest.delete(t("customer"), rest.request_of("op=delete&field=c_nationkey&value=20&compare=ltequal&field=c_acctbal&value=0.0&compare=greater"), "c_custkey")
+    return left.select("c_custkey", "c_name")
+
+
+@register("SELECT n_nationkey::BIGINT AS rid, n_name, n_regionkey FROM nation UNION ALL SELECT 25, 'a,b', 3 UNION ALL SELECT 26, '7', NULL UNION ALL SELECT 27, 'x', -1")
+def rest_insert(t):
+    space = t("nation").select(F.col("n_nationkey").cast("bigint").alias("rid"), "n_name", "n_regionkey")
+    return rest.insert(space, rest.request_of('op=insert&rec=["a%2Cb",3]&rec=7&rec=["s:x","i:-1"]&types=yes'))
+
+
+@register("SELECT n_nationkey::BIGINT AS f0, n_name AS f1 FROM nation WHERE n_nationkey <> 3 AND n_nationkey < 10 UNION ALL SELECT 77, 'new'")
+def rest_service(t):
+    """A space is made, filled, changed by requests, read and dropped."""
+    spark, number = t("nation").sparkSession, uuid.uuid4().int % 10**9
+    service, name = rest.Service(spark), f"db{number}"
+    api.create(name, t("nation").where("n_nationkey < 10").select(F.col("n_nationkey").cast("bigint").alias("rid"), F.col("n_nationkey").cast("bigint").alias("f0"), F.col("n_name").alias("f1")))
+    try:
+        for request in ("op=insert&rec=5000,old", "op=update&field=0&value=5000&ufield=0&uvalue=77&ufield=1&uvalue=new", "op=delete&field=0&value=3"):
+            service.handle(f"{request}&db={number}")
+        return api.attach(name).records.select("f0", "f1")
+    finally:
+        service.handle(f"op=drop&db={number}")
+
+
+@register("""SELECT o_orderkey, o_custkey, o_totalprice, 'sorted' AS layout FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 10 = 3 THEN 1000.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_custkey % 10 <> 4
+  UNION ALL SELECT -s_suppkey, s_suppkey, 1500.0 FROM supplier) WHERE o_totalprice >= 900 AND o_totalprice < 2000
+  UNION ALL SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 10 = 3 THEN 1000.0 ELSE o_totalprice END, 'hashed' FROM orders WHERE o_custkey = 13
+  UNION ALL SELECT -s_suppkey, s_suppkey, 1500.0, 'hashed' FROM supplier WHERE s_suppkey = 13""")
+def index_upkeep(t):
+    """Layouts follow an insert, an update and a delete without being built again."""
+    o = t("orders").select(F.col("o_orderkey").alias("rid"), "o_custkey", "o_totalprice")
+    c, spark = Catalog(o), o.sparkSession
+    c.add_sorted(scratch(spark, "layout"), "o_totalprice")
+    c.add_hashed(scratch(spark, "layout"), ["o_custkey"])
+    more = t("supplier").select((-F.col("s_suppkey")).alias("rid"), F.col("s_suppkey").alias("o_custkey"), F.lit(1500.0).alias("o_totalprice"))
+    after = o.unionByName(more)
+    c.follow(after, new=more)
+    changed = after.where("o_custkey % 10 = 3 and rid > 0").withColumn("o_totalprice", F.lit(1000.0))
+    after = after.where("not (o_custkey % 10 = 3 and rid > 0)").unionByName(changed)
+    c.follow(after, new=changed, gone=changed.select("rid"))
+    gone = after.where("o_custkey % 10 = 4 and rid > 0").select("rid")
+    c.follow(after.join(gone, "rid", "left_anti").select(after.columns), gone=gone)
+    ranged = c.select([("o_totalprice", ">=", 900.0), ("o_totalprice", "<", 2000.0)]).withColumn("layout", F.lit("sorted"))
+    hashed = c.select([("o_custkey", "=", 13)]).withColumn("layout", F.lit("hashed"))
+    return ranged.unionByName(hashed).withColumnRenamed("rid", "o_orderkey")
+
+
+@register("SELECT count(*) AS rows, min(c_acctbal) AS least, max(c_acctbal) AS greatest FROM customer")
+def index_dump(t):
+    """What the files of a layout hold, added up."""
+    c = _catalog(t("customer").select("c_custkey", "c_acctbal"), "sorted", ["c_acctbal"])
+    return c.dump(c.layouts[0]).agg(F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+@register("""SELECT DISTINCT o_orderkey AS doc_id, 'kept' AS state FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_partkey = 30
+  UNION ALL SELECT DISTINCT o_orderkey, 'deleted' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_partkey = 30 AND o_orderkey % 2 = 0""")
+def json_index(t):
+    """A kept key and value table answers, before and after half of the documents go."""
+    docs = _order_docs(t)
+    index = jsondoc.JsonIndex(docs.sparkSession, _scratch(docs, "json-index"))
+    index.add(docs)
+    query = {"status": "F", "part": 30}
+    kept = durable(index.find(query).withColumn("state", F.lit("kept")))
+    index.delete(t("orders").where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("doc_id")))
+    return kept.unionByName(index.find(query).withColumn("state", F.lit("deleted")))
+
+
+@register("""SELECT n_nationkey::BIGINT AS rid, CASE WHEN n_regionkey = 1 THEN 'one' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 2
+  UNION ALL SELECT 25, 'twentyfive', 0""")
+def journal_log(t):
+    """Two connections log their changes; replayed on the rows before them, the log gives the rows after."""
+    rows = t("nation").select(F.col("n_nationkey").cast("bigint").alias("rid"), "n_name", "n_regionkey")
+    path, name = _scratch(rows, "journal"), f"journal-{uuid.uuid4().hex}"
+    first = api.create(name, rows)
+    copy = api.create(f"{name}-copy", rows)
+    try:
+        first.start_logging(path)
+        first.update({"n_name": "first"}, [("n_regionkey", "=", 1)])
+        first.insert([{"n_name": "x", "n_regionkey": 0}])
+        second = api.attach(name)
+        second.start_logging(path)
+        second.update({"n_name": "one"}, [("n_regionkey", "=", 1)])
+        second.update({"n_name": "twentyfive"}, [("rid", "=", 25)])
+        second.delete([("n_regionkey", "=", 2)])
+        copy.replay_log(path)
+        return copy.records
+    finally:
+        api.drop(name)
+        api.drop(f"{name}-copy")
+
+
+@register("""SELECT c_custkey, '<urn:c:' || c_custkey || '>' AS subject, 'lives/in' AS predicate, c_name AS object FROM customer""")
+def ntriples_import(t):
+    """Statements written as N-Triples and read again."""
+    path = _scratch(t("customer"), "ntriples")
+    key = F.col("c_custkey").cast("string")
+    triples.write(t("customer").select(v.uri(F.lit("in"), F.lit("http://e/lives/")).alias("predicate"), v.uri(key, F.lit("urn:c:")).alias("subject"), v.string(F.col("c_name")).alias("object")), path)
+    got = triples.read(t("customer").sparkSession, f"{path}/part-*")
+    s = F.col("subject")
+    return got.select(s["s"].cast("bigint").alias("c_custkey"), F.concat(F.lit("<"), s["x"], s["s"], F.lit(">")).alias("subject"), F.concat(F.lit("lives/"), F.col("predicate")["s"]).alias("predicate"), F.col("object")["s"].alias("object"))
+
+
+@register("""WITH RECURSIVE g(kind, rid, value, inc, k, sign, cycle) AS (
+    SELECT 'asc', 0::BIGINT, 0::BIGINT, 1, 0, 1, 17 UNION ALL SELECT 'desc', 0, 100000, -1, 0, -1, 17 UNION ALL SELECT 'mix', 0, 1, 1, 0, 1, 18
+    UNION ALL SELECT kind, rid + 1, value + inc, CASE WHEN k + 1 = cycle THEN sign WHEN k % 2 = 0 THEN inc + 2 * sign ELSE inc - sign END, (k + 1) % cycle, sign, cycle FROM g WHERE rid < 399)
+  SELECT kind, rid, f0, f0 + 1 AS f1, f0 + 2 AS f2 FROM (SELECT kind, rid, CASE WHEN kind = 'mix' AND k % 2 = 1 THEN 10000 - value ELSE value END AS f0 FROM g)""")
+def int_generators(t):
+    spark = t("nation").sparkSession
+    return reduce(DataFrame.union, [generators.int_rows(spark, kind, 400).withColumn("kind", F.lit(kind)) for kind in generators.SHAPES])
+
+
 @register("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def dump_restore(t):
     path = _scratch(t("nation"), "dump")
@@ -563,11 +749,16 @@ def rules_closure(t):
     return known["path", 2].toDF("x", "y")
 
 
-@register("SELECT true AS refuted")
+@register("""WITH RECURSIVE e AS (SELECT 'ring' AS graph, n_nationkey::BIGINT AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation UNION ALL SELECT 'tree', n_nationkey, n_nationkey // 2 FROM nation WHERE n_nationkey > 0),
+  path(graph, x, y) AS (SELECT graph, a, b FROM e UNION SELECT path.graph, path.x, e.b FROM path JOIN e ON path.graph = e.graph AND path.y = e.a)
+  SELECT graph, bool_or(x = y) AS refuted FROM path GROUP BY graph""")
 def rules_refute(t):
+    """Nothing may lead to itself: one graph refutes that, the other doesn't."""
     rules = RuleSet(parser.parse_prolog("path(X,Y) :- edge(X,Y). path(X,Z) :- path(X,Y), edge(Y,Z). :- path(X,X)."))
-    edges = durable(_edges(t))
-    return edges.sparkSession.createDataFrame([(rules.refuted({("edge", 2): edges}),)], "refuted boolean")
+    key = F.col("n_nationkey").cast("bigint")
+    graphs = {"ring": _edges(t), "tree": t("nation").where("n_nationkey > 0").select(key.alias("a"), F.floor(key / 2).alias("b"))}
+    found = [(name, rules.refuted({("edge", 2): durable(edges)})) for name, edges in graphs.items()]
+    return t("nation").sparkSession.createDataFrame(found, "graph string, refuted boolean")
 
 
 @register("SELECT DISTINCT n_regionkey AS region FROM nation JOIN supplier ON s_nationkey = n_nationkey")

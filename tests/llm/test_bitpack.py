@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -46,6 +48,42 @@ def test_encoder_equals_library(text):
     assert enc.encode(text).tolist() == enc._library.encode(text, add_special_tokens=False).ids
 
 
+def random_texts(seed, n):
+    """Texts of ASCII, letters of all scripts, marks that compose, and parts of special tokens."""
+    rng = random.Random(seed)
+    marks = [*range(0x300, 0x370), 0x0344, 0x0345, 0x05B0, 0x064B, 0x0653, 0x093C, 0x09BE, 0x0E38, 0x1AB0, 0x1DC0, 0x3099, 0x309A, 0x20D0, 0xFE20, 0x1D165]
+    pools = [
+        lambda: chr(rng.randrange(32, 127)), lambda: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), lambda: chr(rng.choice(marks)), lambda: rng.choice("TJHIKSW") + chr(rng.choice(marks)),
+        lambda: chr(rng.choice([rng.randrange(0xA0, 0x250), rng.randrange(0x370, 0x700), rng.randrange(0x900, 0x1200), rng.randrange(0x1E00, 0x2200), rng.randrange(0x3040, 0x3100), rng.randrange(0xAC00, 0xAC80), rng.randrange(0x1F600, 0x1F640)])),
+        lambda: rng.choice([" ", "\n", "\t", "  ", "\u00a0", "\u2028", "\x85"]), lambda: rng.choice(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|EndOfText|>"]), lambda: rng.choice(["'S", "'s", "Ꭰ", "İ", "ẞ", "Σ", "K", "Å", "ﬁ", "½"]),
+    ]
+    return ["".join(rng.choice(pools)() for _ in range(rng.randrange(1, 14))) for _ in range(n)]
+
+
+def test_random_texts_equal_the_library():
+    enc, texts = bitpack.encoder(PATH), random_texts(7, 20_000)
+    want = enc._library.encode_batch(texts, add_special_tokens=False)
+    for a in range(0, len(texts), 1000):
+        for text, got, e in zip(texts[a : a + 1000], enc.encode_all(texts[a : a + 1000]), want[a : a + 1000], strict=True):
+            assert got.tolist() == e.ids, repr(text)
+    assert enc.encode("T\u0308 J\u030c H\u0331").tolist() == enc._library.encode("T\u0308 J\u030c H\u0331", add_special_tokens=False).ids
+
+
+def test_files_with_other_settings_get_whole_texts():
+    spec = json.loads(bitpack.encoder(PATH)._library.to_str())
+    assert bitpack._parts_at_blanks(spec) and not bitpack.encoder(PATH)._whole
+    assert not bitpack._parts_at_blanks(spec | {"normalizer": None})
+    assert not bitpack._parts_at_blanks(spec | {"pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1]})
+    assert not bitpack._parts_at_blanks(spec | {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]})
+
+
+def test_one_id_of_many_rows_is_split(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "concat('w ', id % 700) as text")
+    bitpack.write_ids(docs, f"file://{tmp_path}/ids", PATH)
+    parts = [r.n for r in bitpack.read_ids(spark, f"file://{tmp_path}/ids").groupBy("partition").count().withColumnRenamed("count", "n").collect()]
+    assert len(parts) > 2 and max(parts) < 2000 and sum(parts) == 3000
+
+
 def test_token_table_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lib, start, want = bitpack.encoder(PATH)._library, 0, {}

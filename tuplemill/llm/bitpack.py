@@ -19,9 +19,12 @@ files behind and any file system that Spark can write will do.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,26 @@ BLOCK = 4096
 #: Widths that are whole numbers of the machine.
 WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 _STRIP = ".,!*#$%&|"
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+@cache
+def _marks() -> re.Pattern:
+    """Characters that may compose with a letter before them, or whose decomposition starts with one that may."""
+    import sys
+    import unicodedata
+
+    found = []
+    for c in range(0x300, sys.maxunicode + 1):
+        ch = chr(c)
+        if unicodedata.category(ch)[0] == "M" or unicodedata.combining(unicodedata.normalize("NFD", ch)[0]):
+            found.append(c)
+    runs, start = [], found[0]
+    for a, b in zip(found, [*found[1:], -1], strict=True):
+        if b != a + 1:
+            runs.append(f"{chr(start)}-{chr(a)}")
+            start = b
+    return re.compile("[" + "".join(runs) + "]")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -115,12 +138,29 @@ class Shard:
         return self.ids(self.starts[k], self.starts[k + 1])
 
 
+# Fixed values of vocabulary files whose texts may be parted at blanks.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def _parts_at_blanks(spec: dict) -> bool:
+    """Whether a vocabulary file's settings are such that no id depends on characters across a blank."""
+    steps = (spec.get("normalizer") or {}).get("normalizers")
+    first, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    words = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("behavior") == "Removed" and first.get("invert")
+    level = len(rest) == 1 and {k: rest[0].get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
+    marks = all(t["content"].startswith("<|") and " " not in t["content"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens") or [])
+    model = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("fuse_unk")
+    return bool(steps == NORMALIZERS and words and level and marks and model and not spec.get("truncation") and not spec.get("padding"))
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizers file, a blank-separated piece at a time.
 
-    The file's normaliser and pre-tokeniser never join characters across a
-    space or line feed, so the ids of a text are those of its pieces in turn;
-    this is checked when the encoder is made.  A piece is further parted
+    With the settings below, normaliser and pre-tokeniser never join characters
+    across a space or line feed, so the ids of a text are those of its pieces
+    in turn; files with other settings get their texts whole.  A piece is further parted
     into a stem that ends in a Latin letter or digit and a tail of ASCII marks,
     which the pre-tokeniser parts as well.  Pieces seen before come from a cache of
     bounded size.
@@ -135,9 +175,7 @@ class WordEncoder:
         self.vocabulary = self._library.get_vocab_size()
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        probe = "Ab's  cd,. 12'x\ny\tz\x1f! é ́a B!!\n\n#Q. <|endoftext|>. "
-        self._whole = False
-        self._whole = self.encode(probe).tolist() != self._library.encode(probe, add_special_tokens=False).ids
+        self._whole = not _parts_at_blanks(json.loads(self._library.to_str()))
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -146,8 +184,7 @@ class WordEncoder:
         """The ids of each text; what no cache has goes to the library in one call."""
         if self._whole:
             return [np.array(e.ids, np.uint32) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
-        # the normaliser lowers anyway; marks of special tokens are matched before it, so such texts stay as they are
-        pieces = [(t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
+        pieces = [self._lowered(t).replace("\n", " ").split(" ") for t in texts]
         if len(self._new) > self.KEEP:
             self._old, self._new = self._new, {}
         new, parts = self._new, {}
@@ -163,6 +200,18 @@ class WordEncoder:
             new[piece] = b"".join([new[p] for p in ps])
         return [np.frombuffer(b"".join(map(new.__getitem__, ps)), np.uint32) for ps in pieces]
 
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """A text with ASCII in lower case where that changes no id, for fewer pieces.
+
+        The normaliser lowers too, but composes before it does: a letter that a
+        mark may follow must stay as it is.  Special tokens are found before
+        both, so texts that may hold one stay as they are.
+        """
+        if text.isascii():
+            return text if "<|" in text else text.lower()
+        return text if "<|" in text or _marks().search(text) else text.translate(_LOWER)
+
     @staticmethod
     def _parts(piece: str) -> tuple[str, ...]:
         """Strings whose ids, in turn, are those of the piece."""
@@ -186,7 +235,8 @@ def encoder(path: str) -> WordEncoder:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 2_000_000) -> None:
     """Encode every document and write shard files in ascending id order.
 
-    Texts are range-partitioned by ``doc_id`` (nulls first, ties by text), then
+    Texts are range-partitioned by ``doc_id`` (nulls first, ties by a hash of the
+    text and the text, so that an id of very many rows is split too), then
     encoded and packed where they land: one shuffle, of texts, and none of ids.
     A shard is closed once it has ``shard_ids`` ids, so a task holds one shard
     and one document.  Null texts count as empty; each document ends in
@@ -220,8 +270,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(max(1, shuffle_partitions(spark)), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(shards, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", END).text(path)
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(max(1, shuffle_partitions(spark)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    dealt.drop("tie").mapInArrow(shards, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", END).text(path)
 
 
 def _shard_files(spark: SparkSession, path: str) -> DataFrame:
@@ -284,8 +335,8 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int
 
     Returns doc_id, start (ids of all documents before it in ascending id
     order), n_tokens (with the end id) and ids_crc32, all from the files.
-    Repeated ids follow each other in the order of their texts; null ids come
-    first; empty and null texts have the end id alone.
+    Repeated ids follow each other in the order of their texts' hashes, then
+    texts; null ids come first; empty and null texts have the end id alone.
     """
     spark = docs.sparkSession
     path = path or work_path(spark, "token-ids")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tuplemill.llm import warc
@@ -48,11 +50,37 @@ def test_pages_round_trip_and_format(spark, tmp_path):
         for headers, block in warc.records_of(data):
             seen += 1
             if headers["WARC-Type"] == "response":
-                assert block.split(b"\r\n\r\n", 1)[1] == html[warc._page(headers["WARC-Record-ID"])]
+                assert block.split(b"\r\n\r\n", 1)[1] == html[warc._page(headers["X-Page-ID"])]
+            else:
+                assert headers["WARC-Refers-To"] == warc.record_id(int(headers["X-Refers-To-Page-ID"]))
     assert seen == len(rows)
     assert sum(f.stat().st_size for f in files) < sum(map(len, html.values())) / 2
 
 
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [(3, "u", "aé"), (1, None, "aé"), (None, "n", "aé"), (None, "n", "aé"), (None, "n", "lone"), (3, "u", "aé"), (1, "u", "aé"), (9, "u", "b"), (10, "u", "b")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w")
+    ids = [r.record_id for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()]
+    assert len(set(ids)) == len(ids) == len(rows) and "<urn:x-page:9>" in ids
+    named = {h.get("WARC-Refers-To") for f in (tmp_path / "w").glob("part-*") for h, _ in warc.records_of(f.read_bytes())}
+    assert named == {None, "<urn:x-page:9>"}  # two records have page 1's id, so none is named
+
+
+@pytest.mark.parametrize("records", [[b"WARC/1.1\r\n"], [b"x" * 9] * 3, [bytes([k]) * 40 for k in range(9)], [random.Random(k).randbytes(900_000) for k in range(6)]])
+def test_every_archive_has_a_dictionary(records):
+    import zstandard
+
+    data = warc.archive(records)
+    n = int.from_bytes(data[4:8], "little")
+    assert n >= 8 and data[:4] == b"\x5d\x2a\x4d\x18"
+    shared, at = zstandard.ZstdCompressionDict(data[8 : 8 + n]), 8 + n
+    for r in records:
+        frame = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True).compress(r)
+        assert data[at : at + len(frame)] == frame and zstandard.ZstdDecompressor(dict_data=shared).decompress(frame) == r
+        at += len(frame)
+    assert at == len(data)
+
+
 def test_records_read_alone_need_only_the_dictionary():
     import zstandard
 

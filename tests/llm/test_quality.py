@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from tuplemill.llm import quality
@@ -24,6 +26,37 @@ def test_gradient_step_prefers_the_better():
     assert s[:20].max() < 0.3 <= s[20:].min()
 
 
+def test_pair_loss_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(3)
+    w, d = rng.normal(size=7), rng.normal(size=(50, 7)) * 3
+    loss, gradient = quality.pair_loss(w, d, 0.1)
+    assert abs(loss - sum(math.log(1 + math.exp(-sum(a * b for a, b in zip(row, w, strict=True)))) for row in d.tolist()) / 50 - 0.05 * sum(x * x for x in w)) < 1e-9
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert abs((quality.pair_loss(w + step, d, 0.1)[0] - quality.pair_loss(w - step, d, 0.1)[0]) / 2e-6 - gradient[k]) < 1e-6
+
+
+def test_threshold_is_the_stated_quantile():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, quality.SHAPES + 12))
+    y = (x[:, 3] + rng.normal(size=200) * 0.3 > 0.5).astype(int)
+    for quantile, below in ((None, int((y == 0).sum())), (0.25, 50), (0.0, 0), (1.0, 200)):
+        model = quality.fit_pairs(x, y, pairs=4000, epochs=50, quantile=quantile)
+        assert int((model.score(x) < model.cut).sum()) == below
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = spark.range(500).selectExpr("id % 4 as doc_id", "concat('word ', id) as text")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")
+    taught = []
+    fit, quality.fit_pairs = quality.fit_pairs, lambda x, y, **_: taught.append(len(x))
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.fit_pairs = fit
+    assert taught[0] <= 4
+
+
 def test_degenerate_inputs(spark):
     rows = [(1, "ok text", "x"), (None, None, "y"), (3, "", "z"), (3, "", "z"), (4, "!! !!", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")

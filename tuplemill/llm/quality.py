@@ -2,9 +2,10 @@
 
 Preference pairs (a document labelled 1 is preferred to one labelled 0) teach
 weights by logistic loss on feature differences.  A document's score is its
-weighted feature sum; the decision threshold is a quantile of the scores of
-labelled documents, and the reported score is a logistic curve through it, so
-that the threshold lies at ``cut``.
+weighted feature sum; the decision threshold is a quantile of the scores of the
+documents that taught: by default that of the share of them labelled 0, so that
+as many lie above it as are labelled 1.  The reported score is a logistic curve
+through the threshold, which lies at ``cut``.
 """
 
 from __future__ import annotations
@@ -102,13 +103,28 @@ class Ranker:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, epochs: int = 300, l2: float = 1e-3, seed: int = 11) -> Ranker:
+def pair_loss(w: np.ndarray, d: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean logistic loss of weights on the feature differences of preference pairs (better less worse), with its gradient."""
+    margin = np.clip(d @ w, -30, 30)
+    missed = 1 / (1 + np.exp(margin))  # the model's probability that the worse one is preferred
+    return float(np.log1p(np.exp(-margin)).mean() + l2 / 2 * (w @ w)), -(missed @ d) / len(d) + l2 * w
+
+
+def quantile_of(scores: np.ndarray, quantile: float) -> float:
+    """A threshold with the share ``quantile`` of the scores below it, halfway to the next one."""
+    s = np.sort(scores)
+    k = min(max(int(round(quantile * len(s))), 0), len(s))
+    if k in (0, len(s)):
+        return float(s[0] - 1 if k == 0 else s[-1] + 1)
+    return float((s[k - 1] + s[k]) / 2)
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, epochs: int = 300, l2: float = 1e-3, seed: int = 11, quantile: float | None = None) -> Ranker:
     """Fit by mini-batch Adam steps on random preference pairs.
 
-    The threshold is the quantile of the scores, among all quantiles, at which
-    the labels' balanced accuracy is largest.  Without both labels there is no
-    pair: weights are 0 and every score is the same, above the cut if labels
-    are 1 or absent.
+    The threshold is the given quantile of the scores of ``x``, or that of the
+    share of labels 0.  Without both labels there is no pair: weights are 0
+    and every score is the same, above the cut if labels are 1 or absent.
     """
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(SHAPES + 12), np.ones(SHAPES + 12))
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -120,18 +136,11 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, epochs: int = 3
     z = ((x - mean) / scale).astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, epochs + 1):
-        part = slice((t * 2000) % pairs, (t * 2000) % pairs + 2000)
-        d = z[a[part]] - z[b[part]]  # logistic loss on feature differences
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        g = -(p @ d) / max(1, len(d)) + l2 * w
+        at = t * 2000 % pairs
+        _, g = pair_loss(w, z[a[at : at + 2000]] - z[b[at : at + 2000]], l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    s = z @ w
-    order = np.argsort(s, kind="stable")
-    below = np.cumsum(y[order] == 0) / len(bad) + 1 - np.cumsum(y[order] == 1) / len(good)
-    k = int(np.argmax(below[:-1])) if len(s) > 1 else 0
-    quantile = (k + 1) / len(s)
-    return Ranker(mean, scale, w, float((s[order[k]] + s[order[min(k + 1, len(s) - 1)]]) / 2) if quantile < 1 else float(s.max()))
+    return Ranker(mean, scale, w, quantile_of(z @ w, len(bad) / len(x) if quantile is None else quantile))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -140,12 +149,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _feature_rows(docs: DataFrame) -> DataFrame:
-    schema = "label int, x binary"
+    """(doc_id, label, x) from (doc_id, label, text)."""
+    schema = "doc_id bigint, label int, x binary"
     fields = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
-            yield record_batch([(y, features(t.as_py()).astype(np.float16).tobytes()) for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)], fields)
+            yield record_batch([(i, y, features(t.as_py()).astype(np.float16).tobytes()) for i, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)], fields)
 
     return docs.mapInArrow(run, schema)
 
@@ -155,15 +165,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
 
     ``most`` bounds them: beyond it, those with the lowest hash of their id
     teach.  Rows without a label or an id teach nothing; a label that is
-    repeated with different values counts once, by its smallest value.
+    repeated with different values counts once, by its smallest value, and of
+    documents that share an id one teaches, by its smallest features; so at
+    most ``most`` rows reach the driver.
     """
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most ``most`` rows of two numbers: small enough for any broadcast
-    taught = texts.join(F.broadcast(marks), "doc_id").select("label", "text")
-    rows = sorted((r.label, bytes(r.x)) for r in _feature_rows(taught).collect())
+    taught = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "label", "text")
+    taught = _feature_rows(taught).groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("row"))
+    rows = sorted((r.label, bytes(r.x)) for r in taught.select("row.*").collect())
     x = np.array([np.frombuffer(d, np.float16) for _, d in rows], np.float64).reshape(len(rows), SHAPES + 12)
     return fit_pairs(x, np.array([y for y, _ in rows]), **parameters)
 

@@ -48,6 +48,14 @@ def test_added_spans():
     assert [s[0] for s in found if s[0] not in BASE_KINDS] == ["address", "address", "account"]
 
 
+@pytest.mark.parametrize(("text", "value"), [
+    ("IBAN DE89370400440532013000", "DE89370400440532013000"), ("account number 12345678", "12345678"), ("IBAN: DE89 3704 0044 0532 0130 00 and more", "DE89 3704 0044 0532 0130 00"),
+    ("IBAN: DE89 3704 0044 0532 0130 01", None), ("iban = GB82WEST12345698765432, x", "GB82WEST12345698765432"), ("account is open", None), ("account number unknown", None), ("Account No. 00998877.", "00998877"), ("iban", None), ("IBAN: ", None),
+])
+def test_accounts(text, value):
+    assert [text[a:b] for k, a, b in Finder().spans(text) if k == "account"] == ([value] if value else [])
+
+
 def test_nulls_and_repeats(spark):
     rows = [(1, None, "x"), (None, "a@b.cc", "y"), (2, "", "z"), (2, "", "z"), (3, "é a@b.cc", "w")]
     got = find_pii(spark.createDataFrame(rows, "doc_id long, text string, spans string"))

@@ -35,6 +35,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"(?:[A-Za-z0-9._%+-]+(?::[^\s@/]*)?@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]{1,5})?")
 _BETWEEN = re.compile(r"[\x20\t]*(?:(?:no|nr|number|id)\b\.?)?[\x20\t]*(?:[:=#]|is\b)[\x20\t]*[\"']?", re.I)
+_NUMBER_WORD = re.compile(r"[\x20\t]+(?:no|nr|number|id)\b\.?[\x20\t]+", re.I)
+_IBAN_LEAD = re.compile(r"[\x20\t]*(?:(?:no|nr|number)\b\.?)?[\x20\t]*[:=#]?[\x20\t]*[\"']?", re.I)
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 _VALUE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_\-/+.]*[A-Za-z0-9])?")
 
 SCHEMA = (
@@ -140,12 +143,39 @@ class Finder:
 
     @staticmethod
     def _account(text: str, start: int, at: int, next_of: dict, found: list) -> None:
-        if start < next_of["account"] or start and text[start - 1].isalnum() or not (m := _BETWEEN.match(text, at)):
+        """A value behind a cue: an IBAN by its checksum, else one that a separator or a number word introduces."""
+        if start < next_of["account"] or start and text[start - 1].isalnum():
             return
-        v = _VALUE.match(text, m.end())
-        if v and len(v.group()) >= 6 and any(c in "0123456789" for c in v.group()):
-            found.append(("account", v.start(), v.end()))
-            next_of["account"] = v.end()
+        span = None
+        if text[start:at].lower() == "iban":
+            span = iban(text, _IBAN_LEAD.match(text, at).end())
+        if span is None and (m := _BETWEEN.match(text, at)):
+            v = _VALUE.match(text, m.end())
+            if v and len(v.group()) >= 6 and any(c in "0123456789" for c in v.group()):
+                span = v.span()
+        elif span is None and (m := _NUMBER_WORD.match(text, at)):
+            v = _VALUE.match(text, m.end())
+            if v and len(v.group()) >= 6 and v.group()[0] in "0123456789":
+                span = v.span()
+        if span:
+            found.append(("account", *span))
+            next_of["account"] = span[1]
+
+
+def iban(text: str, at: int) -> tuple[int, int] | None:
+    """The span of the longest IBAN at a place, single spaces allowed: its remainder by 97 must be 1."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return None
+    for end in range(m.end(), at + 14, -1):
+        if text[end - 1] == " " or text[end : end + 1].isalnum():
+            continue
+        plain = text[at:end].replace(" ", "").upper()
+        if len(plain) < 15:
+            return None
+        if plain.isascii() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return at, end
+    return None
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

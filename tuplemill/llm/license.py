@@ -3,20 +3,23 @@
 Text blocks meet license templates where a block holds at least ``threshold``
 of a template's distinct words.  Blocks are lines, and for statements wrapped
 over line ends all runs of as many words as the template has, wherever lines
-end.  Template words are ordered by the number of lines of the whole corpus
-that hold them, rarest first.  For lines, three
-exact filters come before the overlap is counted: *prefix* (a block must hold
-one of a template's first ``n - need + 1`` words), *length* (a block must have
-``need`` distinct words) and *position* (what is left of template and block
-after their first common word must suffice).  For runs, only the places of
-template words are looked at, in texts of several lines that hold enough of
-them.  All of it is DataFrame functions on one row per document: nothing is
-shuffled but one count per template word.
+end.  Template words are ordered by the number of documents of the whole corpus
+that hold them, rarest first.  An index leads from each word of a template's
+*prefix* (its first ``n - need + 1`` words, of which a block must hold one) to
+the template and the word's place.  A block looks its words up in that index
+and leaves out the templates that can't be met: by *length* (it must have
+``need`` words of templates) and by *position* (what is left of the block and of the template
+from their first common word on must both suffice).  The overlap is then
+counted.  A document as a whole goes through the same index and filters; of the
+templates that are left, its runs are looked at.  All of it is
+DataFrame functions on one row per document: nothing is shuffled but one count
+per template word.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +46,16 @@ TEMPLATES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-Template = tuple[str, tuple[str, ...], int]
-
-
 def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
+    """Text with A-Z in lower case.
+
+    Other letters may change too: they are word characters before and after
+    and stand in no phrase.  But for two characters (U+0130 and U+212A), whose
+    lower case has ASCII letters; texts with them take the slower way.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    return F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def _spaced(low: Column) -> Column:
@@ -73,90 +81,89 @@ def block_words(block: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(_spaced(block), " ")), "")
 
 
-def ordered_templates(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> list[Template]:
-    """Templates with their words in global order, rarest first.
-
-    Counts cover every block of every document; the driver gets one row per
-    word of the templates, which are constants.
-    """
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    low = lowered(F.col(text_col))
-    blocks = docs.where(low.rlike("|".join(vocabulary))).select(F.explode(F.split(low, "\n")).alias("block"))
-    held = blocks.select(F.explode(F.array_intersect(block_words(F.col("block")), _array(vocabulary))).alias("word"))
-    count = {r.word: r.n for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = []
-    for k, (label, text) in enumerate(templates):
-        out.append((label, tuple(sorted(dict.fromkeys(text.split()), key=lambda w: (count.get(w, 0), w))), k))
-    return out
-
-
-def _prefixes(templates: list[Template], threshold: float) -> dict[Template, tuple[str, ...]]:
-    """The words of each template of which a block that meets it must hold one."""
-    return {t: t[1][: len(t[1]) - needed(len(t[1]), threshold) + 1] for t in templates}
-
-
-def _matches(low: Column, templates: list[Template], threshold: float) -> Column:
-    """Array of (label, containment) of all lines and templates that meet."""
-    prefix = _prefixes(templates, threshold)
-    rare = sorted({w for p in prefix.values() for w in p})
-    kind = "array<struct<label:string,containment:double>>"
-
-    def of_block(words: Column) -> Column:
-        found = []
-        for t in templates:
-            label, own, _ = t
-            n, need = len(own), needed(len(own), threshold)
-            common = F.array_intersect(_array(own), words)  # in global order
-            first = F.array_position(_array(own), F.element_at(common, 1))
-            met = (
-                (F.size(words) >= need)
-                & F.arrays_overlap(words, _array(prefix[t]))
-                & (n - first + 1 >= need)  # what is left of the template from the first common word
-                & (F.size(common) >= need)
-            )
-            found.append(F.when(met, F.struct(F.lit(label).alias("label"), (F.size(common).cast("double") / F.lit(float(n))).alias("containment"))))
-        return F.array_compact(F.array(*found))
-
-    blocks = F.filter(F.split(low, "\n"), lambda b: b.rlike("|".join(rare)))
-    word_sets = F.filter(F.transform(blocks, block_words), lambda w: F.arrays_overlap(w, _array(rare)))
-    return F.when(low.rlike("|".join(rare)), F.flatten(F.transform(word_sets, of_block))).otherwise(F.array().cast(kind))
-
-
-def _places(low: Column, spaced: Column, templates: list[Template], threshold: float) -> Column:
-    """Array of (word, at) of all template words of a text of several lines.
-
-    Empty where no template's rarest words stand, and for a single line, which
-    is a block itself.
-    """
-    rare = sorted({w for p in _prefixes(templates, threshold).values() for w in p})
-    vocabulary = sorted({w for _, own, _ in templates for w in own})
-    words = F.transform(F.split(F.trim(spaced), " "), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    there = F.contains(low, F.lit("\n")) & low.rlike("|".join(rare))
-    return F.when(there, F.filter(words, lambda h: h["word"].isin(vocabulary))).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
-
-
-def _run_matches(places: Column, held: Column, templates: list[Template], widths: list[int], threshold: float) -> Column:
-    """Array of (label, containment) of the templates that a run of ``widths[k]`` words meets.
-
-    ``held`` are the distinct words of ``places``.  One pass over a template's
-    places keeps the last place of each word among the words of a run.
-    """
-
-    def of_template(label: str, own: tuple[str, ...], width: int) -> Column:
-        n, need = len(own), needed(len(own), threshold)
+class Index:
+    """Templates with their words in global order, and where their prefix words lead."""
+
+    def __init__(self, count: dict[str, int], templates=TEMPLATES, threshold: float = 0.8) -> None:
+        rank = lambda w: (count.get(w, 0), w)
+        self.labels = [label for label, _ in templates]
+        self.widths = [len(t.split()) for _, t in templates]
+        self.words = [sorted(set(t.split()), key=rank) for _, t in templates]
+        self.needs = [needed(len(w), threshold) for w in self.words]
+        self.vocabulary = sorted({w for own in self.words for w in own}, key=rank)
+        self.prefix: dict[str, list[tuple[int, int]]] = {}
+        for k, (own, need) in enumerate(zip(self.words, self.needs, strict=True)):
+            for place, w in enumerate(own[: len(own) - need + 1]):
+                self.prefix.setdefault(w, []).append((k, place))
+
+    def common(self, words: Column) -> Column:
+        """The words of templates among ``words``, in global order."""
+        return F.array_intersect(_array(self.vocabulary), words)
+
+    def may_meet(self, low: Column) -> Column:
+        """Whether a lower-cased text has a prefix word, as a word or in one."""
+        return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in sorted(self.prefix)])
+
+    def candidates(self, common: Column) -> Column:
+        """Numbers of the templates that the words ``common`` (of templates, in global order) may meet."""
+        entry = lambda k, place: F.struct(F.lit(k).alias("k"), F.lit(len(self.words[k]) - place).alias("left"), F.lit(self.needs[k]).alias("need"))
+        index = F.create_map(*[c for w, found in sorted(self.prefix.items()) for c in (F.lit(w), F.array(*[entry(*f) for f in found]))])
+
+        def of_word(word: Column, place: Column) -> Column:
+            met = F.filter(F.coalesce(F.element_at(index, word), F.array().cast("array<struct<k:int,left:int,need:int>>")), lambda e: (F.size(common) >= e["need"]) & (F.least(e["left"], F.size(common) - place) >= e["need"]))
+            return F.transform(met, lambda e: e["k"])
+
+        return F.array_distinct(F.flatten(F.transform(common, of_word)))
+
+    def met(self, ks: Column, overlap) -> Column:
+        """(label, containment) of the templates ``ks`` whose ``overlap`` (a function of the number) suffices."""
+        at = lambda values: lambda k: F.element_at(F.array(*[F.lit(v) for v in values]), k + 1)
+        need, label, size = at(self.needs), at(self.labels), at([float(len(w)) for w in self.words])
+        counted = F.transform(ks, lambda k: F.struct(k.alias("k"), overlap(k).alias("n")))
+        counted = F.filter(counted, lambda c: c["n"] >= need(c["k"]))
+        return F.transform(counted, lambda c: F.struct(label(c["k"]).alias("label"), (c["n"].cast("double") / size(c["k"])).alias("containment")))
+
+    def own(self, k: Column) -> Column:
+        return F.element_at(F.array(*[_array(w) for w in self.words]), k + 1)
+
+    def width(self, k: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(w) for w in self.widths]), k + 1)
+
+    def of_lines(self, low: Column) -> Column:
+        """(label, containment) of all lines and templates that meet."""
+        lines = F.filter(F.split(low, "\n"), self.may_meet)
+        words = F.filter(F.transform(lines, lambda line: self.common(block_words(line))), lambda common: F.size(common) > 0)
+        return F.flatten(F.transform(words, lambda common: self.met(self.candidates(common), lambda k: F.size(F.array_intersect(self.own(k), common)))))
+
+    def of_runs(self, spaced: Column) -> Column:
+        """(label, containment) of the templates that some run of as many words meets."""
+        words = F.transform(F.split(F.trim(spaced), " "), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+        places = F.filter(words, lambda h: h["word"].isin(self.vocabulary))
+        # once: places are wanted for each candidate
+        return F.flatten(F.transform(F.array(places), lambda ps: self.met(self.candidates(self.common(ps["word"])), lambda k: self._fullest(ps, k))))
+
+    def _fullest(self, places: Column, k: Column) -> Column:
+        """The most distinct words of template ``k`` in a run of its length, in one pass over their places."""
 
         def step(state: Column, h: Column) -> Column:
-            recent = F.filter(state["recent"], lambda r: (r["at"] > h["at"] - width) & (r["word"] != h["word"]))
+            recent = F.filter(state["recent"], lambda r: (r["at"] > h["at"] - self.width(k)) & (r["word"] != h["word"]))
             recent = F.concat(recent, F.array(h))
             return F.struct(recent.alias("recent"), F.greatest(state["most"], F.size(recent)).alias("most"))
 
         start = F.struct(F.array().cast("array<struct<word:string,at:int>>").alias("recent"), F.lit(0).alias("most"))
-        mine = F.filter(places, lambda h: h["word"].isin(list(own)))
-        most = F.when(F.size(F.array_intersect(_array(own), held)) >= need, F.aggregate(mine, start, step, lambda state: state["most"]))
-        met = F.filter(F.array(most), lambda c: c >= need)
-        return F.transform(met, lambda c: F.struct(F.lit(label).alias("label"), (c.cast("double") / F.lit(float(n))).alias("containment")))
+        return F.aggregate(F.filter(places, lambda h: F.array_contains(self.own(k), h["word"])), start, step, lambda state: state["most"])
+
+
+def build_index(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> Index:
+    """The index of the templates, their words ordered by the documents that hold them.
 
-    return F.flatten(F.array(*[of_template(label, own, widths[k]) for label, own, k in templates]))
+    Counts cover every word of every document; the driver gets one row per
+    word of the templates, which are constants.
+    """
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    words = F.split(F.trim(_spaced(lowered(F.col(text_col)))), " ")
+    held = docs.select(F.explode(F.array_intersect(_array(vocabulary), words)).alias("word"))
+    return Index({r.word: r.n for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}, templates, threshold)
 
 
 def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -169,17 +176,16 @@ def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
     containment that met the threshold, else 0.  Null texts count as empty,
     repeated rows give repeated results, and other columns aren't read.
     """
-    ordered = ordered_templates(docs, text_col, templates)
-    low = lowered(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), low.alias("low"))
-    rows = rows.select("doc_id", "low", _spaced(F.col("low")).alias("spaced"), _matches(F.col("low"), ordered, threshold).alias("line_met"))
-    rows = rows.withColumn("n_words", (_spaces(F.col("spaced")) - 1).cast("bigint")).withColumn("places", _places(F.col("low"), F.col("spaced"), ordered, threshold))
-    rows = rows.withColumn("held", F.array_distinct(F.col("places.word")))
-    runs = _run_matches(F.col("places"), F.col("held"), ordered, [len(t.split()) for _, t in templates], threshold)
-    rows = rows.withColumn("met", F.concat("line_met", runs))
+    index = build_index(docs, text_col, templates, threshold)
+    none = F.array().cast("array<struct<label:string,containment:double>>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lowered(F.col(text_col)).alias("low"))
+    rows = rows.select("doc_id", "low", _spaced(F.col("low")).alias("spaced")).withColumn("n_words", (_spaces(F.col("spaced")) - 1).cast("bigint"))
+    low, spaced = F.col("low"), F.col("spaced")
+    runs = F.when(F.contains(low, F.lit("\n")), index.of_runs(spaced)).otherwise(none)  # a single line is a block itself
+    rows = rows.withColumn("met", F.when(index.may_meet(low), F.concat(index.of_lines(low), runs)).otherwise(none))
     counts, firsts, lasts, labels = [], [], [], []
     for label, phrase in PHRASES.items():
-        spaced, held, size = F.col("spaced"), f" {phrase} ", len(phrase.split())
+        held, size = f" {phrase} ", len(phrase.split())
         there = F.contains(spaced, F.lit(held))
         wide, mark = F.replace(spaced, F.lit(" "), F.lit("  ")), held.replace(" ", "  ")[1:-1]
         n = (F.length(wide) - F.length(F.replace(wide, F.lit(mark), F.lit("")))) / len(mark)
@@ -199,13 +205,9 @@ def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
 
 
 def oracle(threshold: float = 0.8) -> str:
-    """DuckDB SQL for ``scan`` over ``documents``.
-
-    It takes lines as the only blocks, so it doesn't find statements that are
-    wrapped over line ends, which ``scan`` does.
-    """
+    """DuckDB SQL for ``scan`` over ``documents``: lines, and runs from each word of a template on."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    values = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))!r}, {needed(len(set(t.split())), threshold)})" for k, (label, t) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{label}', {len(t.split())}, {sorted(set(t.split()))!r}, {needed(len(set(t.split())), threshold)})" for k, (label, t) in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{label}', {p.split()!r})" for label, p in PHRASES.items())
     return f"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
@@ -215,9 +217,14 @@ places AS (
   SELECT doc_id, label, unnest(list_filter(range(0, greatest(0, len(ws) - len(p) + 1)), lambda i: ws[i + 1:i + len(p)] = p)) AS i
   FROM w, phrases WHERE contains(ws, p[1])),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS ls FROM places GROUP BY doc_id),
-templates(k, label, ts, need) AS (VALUES {values}),
+templates(k, label, width, ts, need) AS (VALUES {values}),
 blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(b, '{word}')) AS bs FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM low)),
-met AS (SELECT doc_id, label, len(list_intersect(bs, ts))::DOUBLE / len(ts) AS c FROM blocks, templates WHERE len(list_intersect(bs, ts)) >= need),
+runs AS (
+  SELECT doc_id, label, ts, need, unnest(list_transform(list_filter(range(0, len(ws)), lambda i: list_contains(ts, ws[i + 1])), lambda i: list_distinct(ws[i + 1:i + width]))) AS bs
+  FROM w, templates WHERE contains(t, chr(10)) AND len(list_intersect(list_distinct(ws), ts)) >= need),
+met AS (
+  SELECT doc_id, label, len(list_intersect(bs, ts))::DOUBLE / len(ts) AS c FROM blocks, templates WHERE len(list_intersect(bs, ts)) >= need
+  UNION ALL SELECT doc_id, label, len(list_intersect(bs, ts))::DOUBLE / len(ts) FROM runs WHERE len(list_intersect(bs, ts)) >= need),
 own AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS ls FROM met GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,

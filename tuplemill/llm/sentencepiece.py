@@ -3,13 +3,13 @@
 An Aho-Corasick automaton over all pieces reads a normalised text once.  At
 each position its output links give every piece that ends there; each relaxes
 the best segmentation that ends at that position, so one pass is a Viterbi
-search.  What "best" means follows from the model file:
+search.  What a piece adds to the score of the way before it follows from the model file:
 
-* unigram models: the largest sum of piece scores;
-* BPE models: the merges' own result.  The largest sum of scores isn't that,
-  so there a piece is accepted where it and the piece before it stay apart
-  when their merge rules run on the two alone; exactly one piece that ends at a
-  position passes, and the result equals that of the merge procedure.
+* unigram models: the piece's own score, whatever came before;
+* BPE models: the piece's score if it and the piece before it stay apart when
+  the merge rules run on the two alone, else minus infinity.  Without that
+  transition score the largest sum isn't what the merges give; with it the
+  best way is, and the ids equal those of the merge procedure.
 
 Since no piece has a space mark after another character, and none a line feed,
 segments between such places are encoded once each and kept in a bounded cache.
@@ -17,6 +17,7 @@ segments between such places are encoded once each and kept in a bounded cache.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -71,7 +72,7 @@ class Model:
         # runs of unknown characters are one piece where there are no byte pieces, so they may cross segments
         self._whole = self.byte_ids is None or any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self._bridged = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self._pairs: dict[tuple, bool] = {}
+        self._gains: dict[tuple[int, int], float] = {}
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -127,38 +128,26 @@ class Model:
         if not n:
             return []
         known = self.ids
-        ends: list[tuple[int, int]] = [(0, 0)] * (n + 1)  # (length, id) of the last piece of the best way to a position
-        best: list[float | None] = [None] * (n + 1)
+        ends: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # (length, id) of the last piece of the best way to a position
+        best = [-math.inf] * (n + 1)
         best[0] = 0.0
         strange = [k for k, c in enumerate(part) if c not in known]
         hits = self.automaton.iter(part) if known else iter(())
         if strange:
             hits = self._with_unknown(hits, strange)
-        if self.kind == UNIGRAM:
-            score = self.score
-            for last, (k, size) in hits:
-                before = best[last + 1 - size]
-                if before is None:
-                    continue
-                total = before + (score[k] if k >= 0 else self.unknown_score)
-                if best[last + 1] is None or total > best[last + 1]:
-                    best[last + 1], ends[last + 1] = total, (size, k)
-        else:
-            pairs, names = self._pairs, self.pieces
-            for last, (k, size) in hits:
-                start = last + 1 - size
-                if best[last + 1] is not None or best[start] is None:
-                    continue
-                if k >= 0:
-                    before = ends[start][1] if start else -1
-                    ok = pairs.get((before, k))
-                    if ok is None:
-                        ok = pairs[before, k] = self._apart(names[before][0] if before >= 0 else "", names[k][0])
-                    if not ok:
-                        continue
-                best[last + 1], ends[last + 1] = 0.0, (size, k)
-        if len(self._pairs) > 2_000_000:
-            self._pairs.clear()
+        gains = self._gains
+        for last, (k, size) in hits:
+            start = last + 1 - size
+            if best[start] == -math.inf:
+                continue
+            step = (ends[start][1], k)
+            gain = gains.get(step)
+            if gain is None:
+                gain = gains[step] = self._gain(*step)
+            if best[start] + gain > best[last + 1]:
+                best[last + 1], ends[last + 1] = best[start] + gain, (size, k)
+        if len(gains) > 2_000_000:
+            gains.clear()
         out, at = [], n
         while at:
             size, k = ends[at]
@@ -197,6 +186,14 @@ class Model:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
+    def _gain(self, before: int, piece: int) -> float:
+        """What piece number ``piece`` adds to the score of a way that ends with ``before``; -1 is the start, or an unknown character."""
+        if piece < 0:
+            return self.unknown_score
+        if self.kind == BPE and not self._apart(self.pieces[before][0] if before >= 0 else "", self.pieces[piece][0]):
+            return -math.inf
+        return self.score[piece]
+
     def _apart(self, before: str, piece: str) -> bool:
         """Whether two pieces, each made of its own merges, stay side by side."""
         return self.merge(before + piece) == ([before, piece] if before else [piece])

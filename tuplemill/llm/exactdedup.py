@@ -4,9 +4,9 @@ Arrivals (digest, identifier, locator) flow through a Structured Streaming
 aggregation whose keyed state lies in RocksDB, on disk, and never expires: per
 digest it keeps the smallest identifier, the locator of that row's content
 (file and row number) and the number of arrivals.  The state is then read as a
-table.  On hits, that is where a digest came twice, the full bytes of all texts
-of the digest are compared; should texts differ, they are told apart by their
-bytes.  Everything is DataFrame operations.
+table.  On hits, that is where a digest came twice, and there alone, the full
+bytes of all texts of the digest are compared; should texts differ, they are
+told apart by their bytes.  Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ _STATE = {
 }
 
 
+_OWN = "__own"
+#: Digests of repeated texts that may be broadcast to find the texts themselves; beyond, texts are joined with them.
+MOST_HITS, HIT_BYTES = 250_000, 64
+
+
 def normalised(text: Column) -> Column:
     """White space runs become one space; null becomes empty."""
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -36,15 +41,21 @@ def located(docs: DataFrame) -> DataFrame:
     """``docs`` such that each row has a file and a row number.
 
     Tables read from Parquet have them; anything else is written once to the
-    shared folder.
+    shared folder.  A column of the name that Spark keeps for them is renamed;
+    ``own_columns`` gives it back.
     """
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
-        if "_metadata" not in docs.columns:
+    if "_metadata" not in map(str.lower, docs.columns):
+        try:
+            docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
             return docs
-    except AnalysisException:
-        pass
-    return written(docs.drop("_metadata"), "located")
+        except AnalysisException:
+            pass
+    return written(docs.toDF(*[_OWN + c if c.lower() == "_metadata" else c for c in docs.columns]), "located")
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, by their own names, of ``located(docs)``."""
+    return [F.col(f"`{_OWN}{c}`").alias(c) if c.lower() == "_metadata" else F.col(f"`{c}`") for c in docs.columns]
 
 
 def _arrivals(docs: DataFrame, id_col: str, text_col: str, digest_chars: int) -> DataFrame:
@@ -92,10 +103,14 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, digest_chars: int, file
         return arrivals.select("doc_id", "text_sha256", "file", "row", "digest", F.col("doc_id").alias("keep_id"), F.col("file").alias("keep_file"), F.col("row").alias("keep_row"), F.col("row").alias("group_size"))
     state = stream_state(path, schema, spark, work_path(spark, "dedup-state"), files_per_trigger)
 
-    # hits: the full bytes of a digest's texts, least against greatest, reduced before the shuffle
+    # hits: where a digest came again, the full bytes of its texts, least against greatest, reduced before the shuffle
+    hits = state.where("group_size > 1").select("digest")
+    count = hits.count()
     texts = docs.select(normalised(F.col(text_col)).alias("bytes"), F.col(id_col).cast("bigint").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     texts = texts.withColumn("digest", F.substring(F.sha2("bytes", 256), 1, digest_chars))
-    differ = texts.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest")).where("least <> greatest").select("digest")
+    # the bound is proven by the count: at most MOST_HITS digests of HIT_BYTES bytes
+    again = texts.join(F.broadcast(hits) if count <= MOST_HITS else hits.hint("merge"), "digest", "left_semi")
+    differ = again.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest")).where("least <> greatest").select("digest")
     differ = written(differ, "differing")
     groups = arrivals.join(state, "digest")
     if differ.isEmpty():
@@ -129,7 +144,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = located(docs)
     stays = _decide(rows, id_col, text_col, 64, 64).where("file = keep_file and row = keep_row").select(F.col("file").alias("__stays_file"), F.col("row").alias("__stays_row"))
-    placed = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
+    placed = rows.select(*own_columns(docs), F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
     left = placed.join(stays, (F.col("__at_file") == F.col("__stays_file")) & (F.col("__at_row") == F.col("__stays_row")), "left_semi")
     return left.drop("__at_file", "__at_row")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tuplemill.llm import decontam as dc
 
@@ -53,6 +54,35 @@ def test_planted_passages_equal_brute_force():
     assert total > 60 and wrong <= 0.03 * total
 
 
+@pytest.mark.parametrize("length", [5, 8, 16, 20, 40, 59, 100, 200])
+def test_recall_at_all_allowed_edits(length):
+    """Of fresh sequences with every edit they may have, the walks in use find the stated part."""
+    edits = int(dc.RATE * length)
+    rng, walks = np.random.default_rng(99), dc.Walks(length, dc.repeats_for(length, edits))
+    plain = rng.integers(1, 2**62, (600, length), dtype=np.uint64)
+    changed = np.stack([dc.edited(p, edits, rng) for p in plain])
+    found = (walks.keys(plain) == walks.keys(changed)).any(0).mean()
+    assert found >= dc.RECALL - 2 * (dc.RECALL * (1 - dc.RECALL) / 600) ** 0.5
+    more = dc.Walks(length, walks.repeats + 9)
+    assert (more.keys(plain[:5])[: walks.repeats] == walks.keys(plain[:5])).all()
+
+
+def test_pairs_that_many_items_share_lose_nothing():
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    items = [(k, " ".join(["of the"] + rng.choices(vocabulary, k=6) + ["of the", "in a"] + rng.choices(vocabulary, k=9))) for k in range(120)]
+    index, plain = dc.Index(items), dc.Index(items[:60])
+    assert index.spared.sum() and not plain.spared.sum() and len(index.owners) < 119 * len(index.pairs)
+    missed = 0
+    for k in range(60):
+        text = " ".join(rng.choices(vocabulary, k=30) + ["of the"] + spoiled(items[k][1].split(), rng.randrange(4), rng) + ["of the"] * 3)
+        missed += k not in index.matches(text)
+        assert set(index.matches(text)) <= set(brute(items, text))
+        short = " ".join(items[k][1].split()[:-2])  # shorter than the item
+        assert k in index.matches(short)
+    assert missed <= 3
+
+
 def test_documents_equal_brute_force(spark):
     docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r.item_id, r.text) for r in benchmark.collect()]

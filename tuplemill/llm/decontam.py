@@ -11,6 +11,8 @@ by exact edit distance.
 Windows that can't qualify are left out before they are embedded: an edit
 changes two word pairs of a window at most, so a window needs
 ``L - 1 - 2 * edits`` pairs that occur in the item.  That test loses nothing.
+Pairs that very many items share are left out of those items that can spare
+them, each lowering the number that the item's windows need by its own places.
 """
 
 from __future__ import annotations
@@ -18,17 +20,20 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, claim
+from .common import arrow_schema, batches_of, claim, written
 
 #: Allowed edits per item word; items shorter than MIN_WORDS never match.
 RATE, MIN_WORDS = 0.25, 5
-RECALL, SAMPLES, MOST_REPEATS = 0.995, 3, 200
+RECALL, SAMPLES = 0.98, 3
+#: Items that may share a word pair before it is left out of those that can spare it.
+COMMON_PAIR = 64
 #: A block of benchmark text that is sent to all executors at once; more go in further passes.
 BLOCK_BYTES = 16 << 20
 
@@ -89,12 +94,13 @@ class Walks:
     """The repeated CGK walks and places sampled for sequences of one length."""
 
     def __init__(self, length: int, repeats: int, samples: int = SAMPLES, seed: int = 5) -> None:
-        rng = np.random.default_rng([seed, length])
+        draw = lambda kind, most, *shape: np.random.default_rng([seed, length, kind]).integers(0, most, (repeats, *shape), dtype=np.uint64).T
         self.length, self.repeats = length, repeats
-        steps = 3 * length
-        self.odd = rng.integers(0, 2**63, (steps, repeats), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.places = rng.integers(0, steps, (samples, repeats))
-        self.factors = rng.integers(0, 2**63, (samples, repeats), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        steps, two, one = 3 * length, np.uint64(2), np.uint64(1)
+        # the first walks are the same however many there are
+        self.odd = np.ascontiguousarray(draw(0, 2**63, steps)) * two + one
+        self.places = draw(1, steps, samples).astype(np.int64)
+        self.factors = draw(2, 2**63, samples) * two + one
         self.salt = np.arange(1, repeats + 1, dtype=np.uint64) * _MIX
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
@@ -113,35 +119,46 @@ class Walks:
         return key ^ key >> np.uint64(29)
 
 
-def repeats_for(length: int, edits: int, recall: float = RECALL, samples: int = SAMPLES) -> int:
-    """Repeats that reach ``recall`` for a sequence with that many random edits, by simulation."""
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """A sequence with so many random edits, as a window of the same length; what follows it is random."""
+    seq = words.tolist()
+    for _ in range(edits):
+        kind, p = rng.integers(3), rng.integers(max(1, len(seq)))
+        if kind == 0:
+            seq[p] = int(rng.integers(1, 2**62))
+        elif kind == 1:
+            seq.insert(p, int(rng.integers(1, 2**62)))
+        elif len(seq) > 1:
+            del seq[p]
+    return np.array((seq + rng.integers(1, 2**62, len(words)).tolist())[: len(words)], np.uint64)
+
+
+@cache
+def repeats_for(length: int, edits: int, recall: float = RECALL, samples: int = SAMPLES, trials: int = 500) -> int:
+    """The least repeats with which the very walks that will be used find ``recall`` of sequences with all the edits they may have.
+
+    By simulation, in which half of the misses that ``recall`` allows may occur.
+    """
     if not edits:
         return 1
     rng = np.random.default_rng([17, length, edits])
-    trials = 60
     plain = rng.integers(1, 2**62, (trials, length), dtype=np.uint64)
-    changed = np.zeros_like(plain)
-    for k in range(trials):
-        seq = plain[k].tolist()
-        for _ in range(edits):
-            kind, p = rng.integers(3), rng.integers(max(1, len(seq)))
-            if kind == 0:
-                seq[p] = int(rng.integers(1, 2**62))
-            elif kind == 1:
-                seq.insert(p, int(rng.integers(1, 2**62)))
-            elif len(seq) > 1:
-                del seq[p]
-        seq = (seq + rng.integers(1, 2**62, length).tolist())[:length]
-        changed[k] = seq
-    walks = Walks(length, 48, samples)
-    hit = float((walks.keys(plain) == walks.keys(changed)).mean())
-    return MOST_REPEATS if hit <= 0 else int(min(MOST_REPEATS, max(4, np.ceil(np.log(1 - recall) / np.log(1 - min(hit, 0.999))))))
+    changed = np.stack([edited(p, edits, rng) for p in plain])
+    walks = 32
+    while True:
+        tried = Walks(length, walks, samples)
+        found = np.logical_or.accumulate(tried.keys(plain) == tried.keys(changed)).mean(1)
+        enough = np.flatnonzero(1 - found <= (1 - recall) / 2)
+        if len(enough):
+            return int(enough[0]) + 1
+        walks *= 2
 
 
 class Index:
     """Items of a benchmark block by length, with their LSH keys."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, min_words: int = MIN_WORDS) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, min_words: int = MIN_WORDS, repeats: dict[int, int] | None = None) -> None:
+        """``repeats`` of each length, if worked out before."""
         self.hashes, self.rate = Hashes(), rate
         by_length: dict[int, list] = {}
         for item_id, text in items:
@@ -149,28 +166,47 @@ class Index:
             if len(words) >= min_words:
                 by_length.setdefault(len(words), []).append((item_id, words))
         self.groups, self.bags, self.group_of, self.ids = [], [], [], []
-        lengths, pairs, owners = [], [], []
+        lengths, pairs, owners, often = [], [], [], []
         for length, group in sorted(by_length.items()):
-            walks = Walks(length, repeats_for(length, int(rate * length)))
+            walks = Walks(length, (repeats or {}).get(length) or repeats_for(length, int(rate * length)))
             keys = walks.keys(np.stack([w for _, w in group])).ravel()
             order = np.argsort(keys, kind="stable")
             self.groups.append((length, int(rate * length), group, walks, keys[order], np.tile(np.arange(len(group)), walks.repeats)[order]))
             for _, words in group:
-                own = np.unique(self._pairs(words))
+                own, places = np.unique(self._pairs(words), return_counts=True)
                 pairs.append(own)
+                often.append(places)
                 owners.append(np.full(len(own), len(lengths)))
                 lengths.append(length)
                 self.bags.append(np.unique(words, return_counts=True))
                 self.group_of.append(len(self.groups) - 1)
             self.ids += [i for i, _ in group]
+        self.lengths = np.array(lengths, np.int64)
+        self.edits = (rate * self.lengths).astype(np.int64)
+        self.needs = self.lengths - 1 - 2 * self.edits
+        pair, owner, often = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((pairs, np.uint64), (owners, np.int64), (often, np.int64)))
+        kept, self.spared = self._without_common(pair, owner, often)
+        self.needs = self.needs - self.spared
+        pair, owner = pair[kept], owner[kept]
         # items by pair: item numbers of pair k stand from offsets[k] to offsets[k + 1]
-        pair, owner = (np.concatenate(pairs), np.concatenate(owners)) if pairs else (np.empty(0, np.uint64), np.empty(0, np.int64))
         order = np.argsort(pair, kind="stable")
         self.pairs, first = np.unique(pair[order], return_index=True)
         self.offsets, self.owners = np.append(first, len(pair)), owner[order]
-        self.lengths = np.array(lengths, np.int64)
-        self.edits = (rate * self.lengths).astype(np.int64)
-        self.needs = self.lengths - 1 - 2 * self.edits
+
+    def _without_common(self, pair: np.ndarray, owner: np.ndarray, often: np.ndarray, common: int = COMMON_PAIR) -> tuple[np.ndarray, np.ndarray]:
+        """Which (pair, item) rows stay, and the places that each item's left-out pairs had.
+
+        Of an item's pairs that more than ``common`` items have, the commonest
+        go, as long as half of the pairs that its windows need are left.
+        """
+        kept, spared = np.ones(len(pair), bool), np.zeros(len(self.lengths), np.int64)
+        _, which, items = np.unique(pair, return_inverse=True, return_counts=True)
+        items = items[which] if len(pair) else items
+        for row in sorted(np.flatnonzero(items > common).tolist(), key=lambda r: (-items[r], r)):
+            k = owner[row]
+            if spared[k] + often[row] <= self.needs[k] // 2:
+                kept[row], spared[k] = False, spared[k] + often[row]
+        return kept, spared
 
     @staticmethod
     def _pairs(words: np.ndarray) -> np.ndarray:
@@ -216,7 +252,7 @@ class Index:
             found |= self._search(words, at[good][order], words, k, found)
         # texts that are shorter than an item are one window
         held = np.bincount(item, minlength=len(self.lengths))
-        for k in np.flatnonzero((self.lengths > n) & (self.lengths - self.edits <= n) & (held >= n - 1 - 2 * self.edits)).tolist():
+        for k in np.flatnonzero((self.lengths > n) & (self.lengths - self.edits <= n) & (held >= n - 1 - 2 * self.edits - self.spared)).tolist():
             padded = np.concatenate([words, np.zeros(int(self.lengths[k]) - n, np.uint64)])
             found |= self._search(words, np.zeros(1, np.int64), padded, k, found)
         return sorted(found, key=lambda i: (i is None, i))
@@ -275,25 +311,36 @@ def _blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list]:
         yield block
 
 
-def _indexes(benchmark: DataFrame, rate: float, block_bytes: int) -> list:
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast((uuid.uuid4().hex, block, rate)) for block in _blocks(benchmark, block_bytes)]
+def _passes(rows: DataFrame, benchmark: DataFrame, rate: float, block_bytes: int, step) -> DataFrame:
+    """``rows`` after a map for each block of the benchmark; between two blocks they are written.
+
+    So one block is on the driver, in broadcasts and in workers at a time.
+    """
+    shared = None
+    for block in _blocks(benchmark, block_bytes):
+        if shared is not None:
+            rows = written(rows, "decontam")
+            shared.destroy()
+        # simulated once, here, rather than in each worker
+        repeats = {n: repeats_for(n, int(rate * n)) for n in {len(words_of(text)) for _, text in block} if n >= MIN_WORDS}
+        shared = benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, rate, repeats))
+        rows = rows.mapInArrow(step(shared), rows.schema)
+    return rows
 
 
 _INDEXES: dict[str, Index] = {}
 
 
-def index_of(key: str, block: list, rate: float) -> Index:
-    """One index per worker process and block; older ones go when there are many."""
+def index_of(key: str, block: list, rate: float, repeats: dict[int, int]) -> Index:
+    """One index per worker process: that of the block at work."""
     claim("decontam", _INDEXES.clear)
     if key not in _INDEXES:
-        if len(_INDEXES) >= 4:
-            _INDEXES.clear()
-        _INDEXES[key] = Index(block, rate)
+        _INDEXES.clear()
+        _INDEXES[key] = Index(block, rate, repeats=repeats)
     return _INDEXES[key]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items and sorted item_ids for each row of ``docs``.
 
     Null and empty texts match nothing, as do null or empty items and those of
@@ -303,29 +350,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     """
     schema = "doc_id bigint, text string, item_ids array<bigint>"
     fields = arrow_schema(schema)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast("array<bigint>").alias("item_ids"))
-    for shared in _indexes(benchmark, rate, block_bytes):
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("item_ids"))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = index_of(*shared.value)
             for b in batches_of(batches):
                 ids = [[*old, *(i for i in index.matches(t.as_py()) if i not in old)] for old, t in zip(b.column(2).to_pylist(), b.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, fields.field(2).type)], schema=fields)
 
-        rows = rows.mapInArrow(run, schema)
+        return run
+
+    rows = _passes(rows, benchmark, rate, block_bytes, step)
     n = F.size("item_ids").cast("bigint")
     return rows.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), F.array_sort("item_ids").alias("item_ids"))
 
 
-def filter_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def filter_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that no item contaminates."""
-    place = docs.columns.index("text")
-    for shared in _indexes(benchmark, rate, block_bytes):
+    place = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = index_of(*shared.value)
             for b in batches_of(batches):
                 yield b.filter(pa.array([not index.matches(t.as_py()) for t in b.column(place)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return run
+
+    return _passes(docs, benchmark, rate, block_bytes, step)

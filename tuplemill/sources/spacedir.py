@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -147,10 +148,15 @@ class SpaceDir:
     def _save(self, catalog: Catalog, version: int) -> None:
         gone = None
         if catalog.gone is not None:
-            gone = f"{self.path}/gone-{version}"
-            catalog.gone.write.mode("overwrite").parquet(gone)
+            gone = f"{self.path}/gone-{uuid.uuid4().hex}"
+            catalog.gone.write.parquet(gone)
         text = json.dumps({"version": catalog.version, "gone": gone, "layouts": [vars(x) for x in catalog.layouts]})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/catalog-{version}")
+        # the newest two stay, for readers of the snapshot before
+        fs = self._fs()
+        old = sorted((s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(self._at()) if s.getPath().getName().startswith("gone-"))
+        for _, path in old[:-2]:
+            delete_path(self.spark, path)
 
     def _forget(self) -> None:
         """Delete all layouts, where a change can't be followed."""

@@ -40,7 +40,8 @@ BLOCK = 4096
 #: Widths that are whole numbers of the machine.
 WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 _STRIP = ".,!*#$%&|"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: First bytes, in UTF-8, of characters from U+0300 on; before, none is a mark.
+_FROM_0300 = re.compile(rb"[\xcc-\xf4]")
 
 
 @cache
@@ -208,9 +209,12 @@ class WordEncoder:
         mark may follow must stay as it is.  Special tokens are found before
         both, so texts that may hold one stay as they are.
         """
+        if "<|" in text:
+            return text
         if text.isascii():
-            return text if "<|" in text else text.lower()
-        return text if "<|" in text or _marks().search(text) else text.translate(_LOWER)
+            return text.lower()
+        data = text.encode()
+        return text if _FROM_0300.search(data) and _marks().search(text) else data.lower().decode()
 
     @staticmethod
     def _parts(piece: str) -> tuple[str, ...]:

@@ -19,14 +19,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return scratch(spark, name)
 
 
+#: Bytes of an Arrow batch between Spark and Python while intermediate tables are made: both sides hold several times that.
+ARROW_BYTES = 16 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage in a way that survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
+    path, before = work_path(spark, name), spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(ARROW_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -150,6 +150,27 @@ def test_heavy_groups_equal_all_links(spark, block):
     assert want and nj._roots(len(nodes), found) == nj._roots(len(nodes), want)
 
 
+def chain(n, words=70, step=9):
+    """Texts of which each links with the next alone, and none with any other."""
+    return [" ".join(f"c{k * step + i}" for i in range(words)) for k in range(n)]
+
+
+def test_stars_of_a_heavy_group_link(spark):
+    """Nodes of two centres may link while the centres don't: a chain, its links at the threshold and below."""
+    for step, of_one in ((9, True), (10, False)):
+        texts = chain(41, step=step)
+        sets = {nj.node_of(x): x for t in texts if len(x := nj.shingles(t))}
+        nodes = sorted(sets)
+        want = nj._roots(len(nodes), nj.join_sets([sets[n] for n in nodes]))
+        assert (len(set(want)) == 1) == of_one
+        rows = [(b"g", n, len(sets[n]), 41 * 66, sets[n].tobytes()) for n in nodes]
+        df = spark.createDataFrame(rows, "group binary, node binary, n_shingles long, weight long, blob binary")
+        found = [(nodes.index(bytes(r.a)), nodes.index(bytes(r.b))) for r in nj._heavy_links(df, 3, 4, 300, centres=6).collect()]
+        assert nj._roots(len(nodes), found) == want
+    rows = list(enumerate(chain(41)))
+    assert got(spark, rows, block=300) == brute(rows)
+
+
 def test_documents_and_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

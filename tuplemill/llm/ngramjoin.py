@@ -16,8 +16,9 @@ can spare, and all nodes of its other ones count as candidates for each other.
 groups; the sets of a group meet in one task and are joined exactly there.  A
 group too heavy for a task is dealt to many: its members are compared with a
 few centres in turn, and only what no centre linked is then compared with the
-whole group, a block of it at a time.  No link is lost, no bucket is capped,
-and nothing is collected but totals.
+whole group, a block of it at a time.  What two centres linked, that nothing has
+connected so far, is compared as far as it is near enough to both.  No link is
+lost, no bucket is capped, and nothing is collected but totals.
 """
 
 from __future__ import annotations
@@ -584,33 +585,54 @@ class Held:
         order = np.argsort(token, kind="stable")
         self.token, self.owner = token[order], owner[order]
 
-    def linked(self, s: np.ndarray) -> list[int]:
-        """The places of the held sets that link with ``s``."""
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """How many shingles each held set has in common with ``s``."""
         low = np.searchsorted(self.token, s, "left")
         counts = np.searchsorted(self.token, s, "right") - low
         if not counts.any():
-            return []
+            return np.zeros(len(self.nodes), np.int64)
         at = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        common = np.bincount(self.owner[at], minlength=len(self.nodes))
+        return np.bincount(self.owner[at], minlength=len(self.nodes))
+
+    def linked(self, s: np.ndarray, common: np.ndarray | None = None) -> list[int]:
+        """The places of the held sets that link with ``s``."""
+        common = self.common(s) if common is None else common
         return np.flatnonzero((common > 0) & (self.den * common >= self.num * (self.lengths + len(s) - common))).tolist()
 
+    def reached(self, s: np.ndarray, common: np.ndarray) -> list[int]:
+        """The places of the held sets that some set may link with that links with ``s``.
+
+        One less the similarity is a metric, so those are at most two links' distances away.
+        """
+        return np.flatnonzero(self.den * common >= (2 * self.num - self.den) * (self.lengths + len(s) - common)).tolist()
 
-def _against_held(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) from rows (group, part, streamed, node, blob).
+
+#: Kinds of rows: a streamed set and the first held one that it links with, held sets that link with the same one, a streamed set and a held one that it reaches.
+LINK, SAME, REACH = 0, 1, 2
+
+
+def _against_held(rows: DataFrame, num: int, den: int, reach: bool = False, first: bool = False) -> DataFrame:
+    """Rows (a, b, kind) from rows (group, part, streamed, node, blob).
 
     In each part of a group the rows that aren't streamed are held, those that
     are go past them one by one; each gets an edge to one held set that it
     links with, and held sets that link with the same one get edges among
-    each other.
+    each other.  With ``reach`` each also gets a row for the held sets that it
+    reaches, but for those that it is connected with in this part.  With
+    ``first`` the first edge of a part is enough: its held sets are connected
+    already, and so are its streamed ones.
     """
+    schema = "a binary, b binary, kind int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, held, roots = None, [], [], None, []
+        now, nodes, sets, held, roots, done = None, [], [], None, [], False
         for b in batches:
             found = []
             for group, part, streamed, node, blob in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
                 if (group, part) != now:
-                    now, nodes, sets, held = (group, part), [], [], None
+                    now, nodes, sets, held, done = (group, part), [], [], None, False
+                if done:
+                    continue
                 s = np.frombuffer(blob.as_py(), np.uint64)
                 if not streamed:
                     if node in nodes[-1:]:
@@ -620,18 +642,22 @@ def _against_held(rows: DataFrame, num: int, den: int) -> DataFrame:
                     continue
                 if held is None:
                     held, roots, sets = Held(nodes, sets, num, den), list(range(len(nodes))), []
-                near = held.linked(s)
+                common = held.common(s)
+                near = held.linked(s, common)
                 if near:
-                    found.append((node, nodes[near[0]]))
+                    found.append((node, nodes[near[0]], LINK))
+                    done = first
                     for k in near[1:]:
                         if roots[k] != roots[near[0]]:
-                            found.append((nodes[k], nodes[near[0]]))
+                            found.append((nodes[k], nodes[near[0]], SAME))
                             roots = [roots[near[0]] if r == roots[k] else r for r in roots]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+                if reach:
+                    found += [(node, nodes[k], REACH) for k in held.reached(s, common) if not near or roots[k] != roots[near[0]]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["a", "b", "kind"])
 
     keys = ["group", "part"]
     dealt = rows.select(*keys, "streamed", "node", "blob").repartition(shuffle_partitions(rows.sparkSession), *keys)
-    return dealt.sortWithinPartitions(*keys, "streamed", "node").mapInArrow(run, "a binary, b binary")
+    return dealt.sortWithinPartitions(*keys, "streamed", "node").mapInArrow(run, schema)
 
 
 def _heavy_links(sets: DataFrame, num: int, den: int, block: int, centres: int = 32) -> DataFrame:
@@ -641,12 +667,14 @@ def _heavy_links(sets: DataFrame, num: int, den: int, block: int, centres: int =
     yet and compares the whole group with them, in as many tasks as it has
     blocks.  Rounds end when what is left of any group is two blocks at most, or
     when they no longer link a tenth of it; that is then compared with the whole group, blocks against
-    blocks.  Pairs of nodes that centres have linked needn't be looked at.
+    blocks.  Nodes that centres have linked are compared by ``_between_stars``
+    where their centres aren't connected.
     """
     blocks = F.ceil(F.col("weight") / block).cast("int")
     dealt = sets.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     streamed = dealt.select("group", F.col("part").cast("string").alias("part"), F.lit(True).alias("streamed"), "node", "blob")
-    left, edges = sets.select("group", "node", "n_shingles"), None
+    left, edges, stars, reached = sets.select("group", "node", "n_shingles"), None, None, None
+    more = lambda known, new: new if known is None else known.union(new)
 
     def size_of(left: DataFrame) -> tuple[int, int]:
         """(nodes left, shingles left of the group that has most)."""
@@ -658,9 +686,13 @@ def _heavy_links(sets: DataFrame, num: int, den: int, block: int, centres: int =
         some = left.groupBy("group", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(centres))).agg(F.min("node").alias("node")).select("group", "node")
         held = dealt.join(written(some, "ngram-centres").hint("merge"), ["group", "node"], "left_semi")
         held = held.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<string>")).alias("part"), F.lit(False).alias("streamed"), "node", "blob")
-        found = written(_against_held(held.union(streamed), num, den), "ngram-links")
-        edges = found if edges is None else edges.union(found)
-        left = written(left.join(found.select(F.col("a").alias("node")).distinct().hint("merge"), "node", "left_anti").select("group", "node", "n_shingles"), "ngram-left")
+        found = written(_against_held(held.union(streamed), num, den, reach=True), "ngram-links")
+        edges = more(edges, found.where(F.col("kind") != REACH).select("a", "b"))
+        reached = more(reached, found.where(F.col("kind") == REACH).select(F.col("a").alias("node"), F.col("b").alias("other")))
+        star = found.where(F.col("kind") == LINK).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("centre"))
+        star = written(left.join(star.hint("merge"), "node").select("node", "n_shingles", "centre").distinct(), "ngram-stars")
+        stars = more(stars, star)
+        left = written(left.join(star.select("node").hint("merge"), "node", "left_anti").select("group", "node", "n_shingles"), "ngram-left")
         before = count
         count, most = size_of(left)
         if count > 0.9 * before:
@@ -669,12 +701,45 @@ def _heavy_links(sets: DataFrame, num: int, den: int, block: int, centres: int =
         rest = dealt.join(left.select("group", "node").hint("merge"), ["group", "node"], "left_semi")
         weights = written(rest.groupBy("group").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("rest_blocks")), "ngram-left")
         mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("rest_blocks")).cast("int")
-        place = lambda i, j: F.format_string("%d:%d", i, j)
-        held = rest.join(weights.hint("merge"), "group").select("group", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: place(mine, k))).alias("part"), F.lit(False).alias("streamed"), "node", "blob")
-        others = dealt.join(weights.hint("merge"), "group").select("group", F.explode(F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda k: place(k, F.col("part")))).alias("part"), F.lit(True).alias("streamed"), "node", "blob")
-        found = written(_against_held(held.union(others), num, den), "ngram-links")
-        edges = found if edges is None else edges.union(found)
-    return edges
+        held = rest.join(weights.hint("merge"), "group").select("group", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: _place(mine, k))).alias("part"), F.lit(False).alias("streamed"), "node", "blob")
+        others = dealt.join(weights.hint("merge"), "group").select("group", F.explode(F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda k: _place(k, F.col("part")))).alias("part"), F.lit(True).alias("streamed"), "node", "blob")
+        edges = more(edges, written(_against_held(held.union(others), num, den), "ngram-links").select("a", "b"))
+    if edges is None:
+        return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    between = _between_stars(sets, stars, reached, edges, num, den, block)
+    return edges if between is None else edges.union(between)
+
+
+def _place(i, j):
+    return F.format_string("%d:%d", i, j)
+
+
+def _between_stars(sets: DataFrame, stars: DataFrame, reached: DataFrame, edges: DataFrame, num: int, den: int, block: int) -> DataFrame | None:
+    """Edges (a, b) between the stars (node, n_shingles, centre) of centres that ``edges`` don't connect.
+
+    If two nodes of two stars link, each reaches the other's centre.  So the nodes of
+    either star that reach the other's centre meet, blocks against blocks, until
+    one link is found; a star is connected by itself.
+    """
+    roots = components(edges, "ngram-roots")
+    ends = stars.select("centre").distinct().join(roots.hint("merge"), F.col("centre") == F.col("node"), "left")
+    ends = written(ends.select("centre", F.coalesce("root", "centre").alias("root")), "ngram-stars")
+    theirs = reached.join(stars.hint("merge"), "node").join(ends, "centre")
+    others = ends.select(F.col("centre").alias("other"), F.col("root").alias("other_root"))
+    theirs = theirs.join(others, "other").where("root <> other_root")
+    low, high = F.least("centre", "other"), F.greatest("centre", "other")
+    theirs = written(theirs.select(F.concat(low, high).alias("group"), (F.col("centre") == low).alias("streamed"), "node", "n_shingles").distinct(), "ngram-stars")
+    side = lambda streamed, name: F.ceil(F.sum(F.when(F.col("streamed") == streamed, F.col("n_shingles"))) / block).cast("int").alias(name)
+    weights = theirs.groupBy("group").agg(side(False, "held_blocks"), side(True, "blocks")).where("held_blocks is not null and blocks is not null")
+    weights = written(weights, "ngram-stars")
+    if weights.isEmpty():
+        return None
+    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    mine = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    parts = F.when(F.col("streamed"), each("held_blocks", lambda k: _place(k, mine("blocks")))).otherwise(each("blocks", lambda k: _place(mine("held_blocks"), k)))
+    meeting = theirs.join(weights, "group").select("group", F.explode(parts).alias("part"), "streamed", "node")
+    meeting = meeting.join(sets.select("node", "blob").hint("merge"), "node").select("group", "part", "streamed", "node", "blob")
+    return written(_against_held(meeting, num, den, first=True), "ngram-links").select("a", "b")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:

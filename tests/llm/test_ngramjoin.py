@@ -189,3 +189,9 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(r.node for r in nj.keep_one(docs).collect()) == [0, 2, 3, 7, 8]
     nulls = spark.createDataFrame([(None, c, 1), (None, c + " z", 2), (None, a, 3)], "doc_id long, text string, node int").coalesce(1)
     assert sorted(r.node for r in nj.keep_one(nulls).collect()) == [1, 3]
+
+
+def test_one_row_of_a_chain_across_centres_stays(spark):
+    """The pipeline's stage on a heavy group whose links cross from one centre's sets to another's."""
+    docs = spark.createDataFrame(list(enumerate([*chain(41), "another text of six words"])), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in nj.keep_one(docs, block=300).collect()) == [0, 41]

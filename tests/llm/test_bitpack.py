@@ -99,3 +99,20 @@ def test_nulls_repeats_and_clashing_columns(spark):
     got = bitpack.token_table(spark.createDataFrame(rows, "doc_id long, text string, start int"), PATH).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (1, 2, 1), (2, 3, 2), (2, 5, 2), (2, 7, 3), (3, 10, 1)]
     assert bitpack.token_table(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_pieces_go_to_the_library_many_in_one_text():
+    """A call for each new piece costs more than the piece; the mark between pieces may be in texts too."""
+    path, calls = public_tokenizers.path("word_bpe_49k.json"), []
+    enc = bitpack.WordEncoder(path)
+    library = enc._library
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    enc._library = Counting()
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}é" for k in range(600)), "a\x1fb \x1f c\x1f", "\x1f<|endoftext|> x.,", "", " \x1f\x1f  é\u0301"]
+    assert [x.tolist() for x in enc.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 20

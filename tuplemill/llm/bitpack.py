@@ -40,6 +40,8 @@ BLOCK = 4096
 #: Widths that are whole numbers of the machine.
 WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 _STRIP = ".,!*#$%&|"
+#: A character that parts pieces which the library encodes in one text, its byte-level token, and how many pieces are joined.
+MARK, MARK_TOKEN, JOINED = "\x1f", chr(0x100 + 0x1F), 200
 #: First bytes, in UTF-8, of characters from U+0300 on; before, none is a mark.
 _FROM_0300 = re.compile(rb"[\xcc-\xf4]")
 
@@ -177,6 +179,9 @@ class WordEncoder:
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._whole = not _parts_at_blanks(json.loads(self._library.to_str()))
+        mark = self._library.encode(MARK, add_special_tokens=False).ids
+        #: The one id of the mark, if it has one that holds its byte: no part without the mark has that id.
+        self._mark = mark[0] if len(mark) == 1 and MARK_TOKEN in self._library.id_to_token(mark[0]) else None
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -189,17 +194,40 @@ class WordEncoder:
         if len(self._new) > self.KEEP:
             self._old, self._new = self._new, {}
         new, parts = self._new, {}
-        for piece in set().union(*pieces) - new.keys():
+        found = [list(map(new.get, ps)) for ps in pieces]
+        holes = [[k for k, ids in enumerate(one) if ids is None] for one in found]
+        for piece in {ps[k] for ps, at in zip(pieces, holes, strict=True) for k in at}:
             if (ids := self._old.get(piece)) is not None:
                 new[piece] = ids
             else:
                 parts[piece] = self._parts(piece)
         wanted = list({p for ps in parts.values() for p in ps if p not in new})
-        for part, found in zip(wanted, self._library.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            new[part] = np.array(found.ids, np.uint32).tobytes()
+        new.update(zip(wanted, self._encoded(wanted), strict=True))
         for piece, ps in parts.items():
-            new[piece] = b"".join([new[p] for p in ps])
-        return [np.frombuffer(b"".join(map(new.__getitem__, ps)), np.uint32) for ps in pieces]
+            if len(ps) > 1:
+                new[piece] = b"".join([new[p] for p in ps])
+        for ps, one, at in zip(pieces, found, holes, strict=True):
+            for k in at:
+                one[k] = new[ps[k]]
+        return [np.frombuffer(b"".join(one), np.uint32) for one in found]
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, by the library: many parts in one text, with a mark between blanks after each but the last."""
+        if self._mark is None:
+            return [np.array(e.ids, np.uint32).tobytes() for e in self._library.encode_batch_fast(parts, add_special_tokens=False)]
+        plain = [p for p in parts if MARK not in p and "<|" not in p]
+        rest = [p for p in parts if MARK in p or "<|" in p]
+        joined = [f" {MARK} ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
+        known = {}
+        for k, e in enumerate(self._library.encode_batch_fast(joined + rest, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            data = ids.tobytes()
+            if k >= len(joined):
+                known[rest[k - len(joined)]] = data
+                continue
+            at = (4 * np.flatnonzero(ids == self._mark)).tolist()
+            known |= zip(plain[k * JOINED : (k + 1) * JOINED], map(data.__getitem__, map(slice, [0, *(a + 4 for a in at)], [*at, len(data)])), strict=True)
+        return [known[p] for p in parts]
 
     @staticmethod
     def _lowered(text: str) -> str:

@@ -116,3 +116,30 @@ def test_pieces_go_to_the_library_many_in_one_text():
     texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}é" for k in range(600)), "a\x1fb \x1f c\x1f", "\x1f<|endoftext|> x.,", "", " \x1f\x1f  é\u0301"]
     assert [x.tolist() for x in enc.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(calls) < 20
+
+
+def test_words_of_letters_skip_normaliser_and_pattern():
+    """The library's normaliser and word pattern cost more than its merges, and leave such words as they are."""
+    enc = bitpack.WordEncoder(PATH)
+    library, calls = enc._library, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    enc._library = Counting()
+    rng = random.Random(3)
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha() and c != "İ"]
+    words = letters + ["".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(3000)]
+    assert enc.encode_all([" ".join(words)])[0].tolist() == [k for w in words for k in library.encode(w, add_special_tokens=False).ids]
+    assert enc.encode_all(words)[7].tolist() == library.encode(words[7], add_special_tokens=False).ids
+    assert not calls
+    odd = ["İx", "x1", "ǰ̌", "Å", "ɐb", "ﬁ", "don't.", "", "...", "a..!b.", "Σς."]
+    assert [x.tolist() for x in enc.encode_all(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_shards_are_read_once(spark):
+    got = bitpack.token_table(spark.createDataFrame([(2, "b c"), (1, "a")], "doc_id long, text string"), PATH)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got.orderBy("start").collect()] == [(1, 0, 2), (2, 2, 3)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("content#") == 0

@@ -25,13 +25,15 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, claim, shuffle_partitions, work_path
+from .common import batches_of, claim, shuffle_partitions, work_path, written
 
 MAGIC, END = b"TMBP", "PBMT"
 HEAD = "<4sHHIQQqq"
@@ -42,6 +44,8 @@ WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 _STRIP = ".,!*#$%&|"
 #: A character that parts pieces which the library encodes in one text, its byte-level token, and how many pieces are joined.
 MARK, MARK_TOKEN, JOINED = "\x1f", chr(0x100 + 0x1F), 200
+#: Pieces whose ids are put in order at once.
+GATHERED = 1 << 19
 #: First bytes, in UTF-8, of characters from U+0300 on; before, none is a mark.
 _FROM_0300 = re.compile(rb"[\xcc-\xf4]")
 
@@ -158,6 +162,44 @@ def _parts_at_blanks(spec: dict) -> bool:
     return bool(steps == NORMALIZERS and words and level and marks and model and not spec.get("truncation") and not spec.get("padding"))
 
 
+class LetterEncoder:
+    """Encodes words of letters before U+0250 with a file whose texts may be parted at blanks.
+
+    The normaliser just lowers such words and the word pattern leaves them whole,
+    so the library gets them lowered, with the file's model and byte level and
+    blanks to part at, which costs it less.  A word's last token is known by the model's suffix.
+    """
+
+    def __init__(self, spec: dict) -> None:
+        from tokenizers import Tokenizer
+
+        blanks = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}
+        self._library = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": blanks, "post_processor": None, "added_tokens": []}))
+        vocabulary, suffix = self._library.get_vocab(), spec["model"]["end_of_word_suffix"]
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+
+    @staticmethod
+    def serves(spec: dict) -> bool:
+        """Whether every word's last token, and no other, ends in the model's suffix."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        model = spec["model"]
+        suffix = model.get("end_of_word_suffix")
+        plain = not (model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("byte_fallback"))
+        return bool(suffix and not suffix.isalpha() and plain and all(c in model["vocab"] and c + suffix in model["vocab"] for c in ByteLevel.alphabet()))
+
+    @staticmethod
+    def takes(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word))
+
+    def encode(self, words: list[str]) -> Iterator[bytes]:
+        for e in self._library.encode_batch_fast([" ".join(words[k : k + JOINED]).lower() for k in range(0, len(words), JOINED)], add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(self._last[ids]) + 4).tolist()
+            yield from map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizers file, a blank-separated piece at a time.
 
@@ -165,8 +207,8 @@ class WordEncoder:
     across a space or line feed, so the ids of a text are those of its pieces
     in turn; files with other settings get their texts whole.  A piece is further parted
     into a stem that ends in a Latin letter or digit and a tail of ASCII marks,
-    which the pre-tokeniser parts as well.  Pieces seen before come from a cache of
-    bounded size.
+    which the pre-tokeniser parts as well; stems of letters alone go by
+    ``LetterEncoder``.  Pieces seen before come from a cache of bounded size.
     """
 
     KEEP = 440_000
@@ -178,7 +220,9 @@ class WordEncoder:
         self.vocabulary = self._library.get_vocab_size()
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        self._whole = not _parts_at_blanks(json.loads(self._library.to_str()))
+        spec = json.loads(self._library.to_str())
+        self._whole = not _parts_at_blanks(spec)
+        self._letters = LetterEncoder(spec) if not self._whole and LetterEncoder.serves(spec) else None
         mark = self._library.encode(MARK, add_special_tokens=False).ids
         #: The one id of the mark, if it has one that holds its byte: no part without the mark has that id.
         self._mark = mark[0] if len(mark) == 1 and MARK_TOKEN in self._library.id_to_token(mark[0]) else None
@@ -187,32 +231,69 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; what no cache has goes to the library in one call."""
+        """The ids of each text; what no cache has goes to the library in one call.
+
+        Only the distinct pieces of the texts become Python objects.
+        """
         if self._whole:
             return [np.array(e.ids, np.uint32) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
-        pieces = [self._lowered(t).replace("\n", " ").split(" ") for t in texts]
+        pieces = pc.split_pattern(pa.array([self._lowered(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        which, offsets = coded.indices.to_numpy(), pieces.offsets.to_numpy()
+        known = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        del pieces, coded
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        source, starts = np.frombuffer(b"".join(known), np.uint32), np.cumsum(sizes) - sizes
+        before = np.concatenate([[0], np.cumsum(sizes[which])])
+        ids = np.empty(before[-1], np.uint32)
+        for k in range(0, len(which), GATHERED):
+            some, at = which[k : k + GATHERED], before[k : k + GATHERED + 1]
+            ids[at[0] : at[-1]] = source[np.repeat(starts[some] - at[:-1], sizes[some]) + np.arange(at[0], at[-1])]
+        cuts = before[offsets].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some distinct pieces."""
         if len(self._new) > self.KEEP:
             self._old, self._new = self._new, {}
-        new, parts = self._new, {}
-        found = [list(map(new.get, ps)) for ps in pieces]
-        holes = [[k for k, ids in enumerate(one) if ids is None] for one in found]
-        for piece in {ps[k] for ps, at in zip(pieces, holes, strict=True) for k in at}:
-            if (ids := self._old.get(piece)) is not None:
-                new[piece] = ids
+        new, old = self._new, self._old
+        found = list(map(new.get, pieces))
+        at, whole, parted = [], [], []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            piece = pieces[k]
+            if (ids := old.get(piece)) is not None:
+                new[piece] = found[k] = ids
+            elif piece[-1:] in _STRIP and len(parts := self._parts(piece)) > 1:
+                parted.append((k, parts))
             else:
-                parts[piece] = self._parts(piece)
-        wanted = list({p for ps in parts.values() for p in ps if p not in new})
+                at.append(k)
+                whole.append(piece)
+        for k, piece, ids in zip(at, whole, self._encoded(whole), strict=True):
+            new[piece] = found[k] = ids
+        wanted = set()
+        for p in {p for _, parts in parted for p in parts}:
+            if p not in new:
+                if (ids := old.get(p)) is not None:
+                    new[p] = ids
+                else:
+                    wanted.add(p)
+        wanted = list(wanted)
         new.update(zip(wanted, self._encoded(wanted), strict=True))
-        for piece, ps in parts.items():
-            if len(ps) > 1:
-                new[piece] = b"".join([new[p] for p in ps])
-        for ps, one, at in zip(pieces, found, holes, strict=True):
-            for k in at:
-                one[k] = new[ps[k]]
-        return [np.frombuffer(b"".join(one), np.uint32) for one in found]
+        for k, parts in parted:
+            new[pieces[k]] = found[k] = b"".join([new[p] for p in parts])
+        return found
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part, by the library: many parts in one text, with a mark between blanks after each but the last."""
+        """The ids of each part, by the library."""
+        if self._letters is None:
+            return self._marked(parts)
+        taken = list(map(LetterEncoder.takes, parts))
+        words = self._letters.encode(list(compress(parts, taken)))
+        rest = iter(self._marked([p for p, t in zip(parts, taken, strict=True) if not t]))
+        return [next(words) if t else next(rest) for t in taken]
+
+    def _marked(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part: many parts in one text, with a mark between blanks after each but the last."""
         if self._mark is None:
             return [np.array(e.ids, np.uint32).tobytes() for e in self._library.encode_batch_fast(parts, add_special_tokens=False)]
         plain = [p for p in parts if MARK not in p and "<|" not in p]
@@ -289,7 +370,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard
             data = encode_shard(doc_ids, counts, np.concatenate(parts) if parts else np.empty(0, np.uint32), bits, partition, number)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
-        for b in batches_of(batches, 2 << 20):
+        for b in batches_of(batches, 8 << 20):
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 doc_ids.append(doc_id)
                 counts.append(len(ids) + 1)
@@ -333,7 +414,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                         "doc_id": pa.array(shard.doc_ids[a : a + 500], pa.int64()),
                         "local_start": pa.array(shard.starts[a : a + len(got)], pa.int64()),
                         "n_tokens": pa.array([len(x) for x in got], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in got], pa.int64()),
                     }
                     if with_ids:
                         columns["ids"] = pa.array([x.astype(np.int32) for x in got], pa.list_(pa.int32()))
@@ -343,18 +424,12 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     return _shard_files(spark, path).mapInArrow(rows, schema + (", ids array<int>" if with_ids else ""))
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """The number of ids before each shard, from the shards' heads.
+def shard_starts(rows: DataFrame) -> DataFrame:
+    """The number of ids before each shard, from the rows of ``read_ids``.
 
     The only global order is over one row per partition.
     """
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [struct.unpack(HEAD, data.as_buffer().slice(0, HEAD_SIZE).to_pybytes())[5:] for data in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 0)], ["partition", "number", "shard_ids"])
-
-    shards = _shard_files(spark, path).mapInArrow(heads, "partition bigint, number bigint, shard_ids bigint")
+    shards = rows.groupBy("partition", "number").agg(F.sum("n_tokens").alias("shard_ids"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("partition").agg(F.sum("shard_ids").alias("part_ids"))
     parts = parts.select("partition", F.coalesce(F.sum("part_ids").over(before(Window.orderBy("partition"))), F.lit(0)).alias("part_start"))
@@ -373,5 +448,5 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int
     spark = docs.sparkSession
     path = path or work_path(spark, "token-ids")
     write_ids(docs, path, tokenizer, end_id, shard_ids)
-    rows = read_ids(spark, path, with_ids=False)
-    return rows.join(shard_starts(spark, path), ["partition", "number"]).select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    rows = written(read_ids(spark, path, with_ids=False), "token-rows")  # the shards are read once
+    return rows.join(shard_starts(rows), ["partition", "number"]).select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
